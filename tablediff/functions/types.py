@@ -13,29 +13,29 @@ from pyspark.sql import types as T
 
 
 class Category(Enum):
-    # value: (numeric, temporal, comparable, usable_as_key)
-    NUMERIC = (True, False, True, True)
-    TEXT = (False, False, True, True)
-    DATE = (False, True, True, True)
-    TIMESTAMP = (False, True, True, True)
-    TIMESTAMP_TZ = (False, True, True, False)
-    OTHER = (False, False, False, False)
+    # value: (name, numeric, temporal, comparable, usable_as_key); the name keeps members with equal flags distinct
+    NUMERIC = ("numeric", True, False, True, True)
+    TEXT = ("text", False, False, True, True)
+    DATE = ("date", False, True, True, True)
+    TIMESTAMP = ("timestamp", False, True, True, True)
+    TIMESTAMP_TZ = ("timestamp_tz", False, True, True, False)
+    OTHER = ("other", False, False, False, False)
 
     @property
     def numeric(self) -> bool:
-        return self.value[0]
+        return self.value[1]
 
     @property
     def temporal(self) -> bool:
-        return self.value[1]
+        return self.value[2]
 
     @property
     def comparable(self) -> bool:
-        return self.value[2]
+        return self.value[3]
 
     @property
     def usable_as_key(self) -> bool:
-        return self.value[3]
+        return self.value[4]
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
