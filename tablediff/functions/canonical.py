@@ -80,6 +80,38 @@ def checksum_term(fp: Column) -> Column:
     return F.conv(F.substring(fp, 1, CHECKSUM_HEX_DIGITS), 16, 10).cast("decimal(38,0)")
 
 
+# Exact wide sums in plain longs: a value is split into 21-bit limbs, each limb is summed as a long (no overflow below
+# 2^42 rows per group) and the limb sums are recombined once, after aggregation, into decimal(38,0). This keeps the
+# aggregate buffers fixed-width, so the sums stay in the codegen'd hash aggregate instead of BigDecimal arithmetic.
+LIMB_BITS = 21
+LIMB_MASK = (1 << LIMB_BITS) - 1
+
+
+def limbs(value: Column) -> list[Column]:
+    """A signed long as ``[low, middle, high]`` with ``value = high * 2^42 + middle * 2^21 + low``."""
+    v = value.cast("bigint")
+    return [
+        v.bitwiseAND(F.lit(LIMB_MASK)),
+        F.shiftright(v, LIMB_BITS).bitwiseAND(F.lit(LIMB_MASK)),
+        F.shiftright(v, 2 * LIMB_BITS),
+    ]
+
+
+def from_limbs(sums: list[Column]) -> Column:
+    """Recombines limb sums into one exact decimal(38,0); NULL when the sums are NULL (no non-NULL value)."""
+    total = None
+    for i, s in enumerate(sums):
+        term = s.cast("decimal(38,0)") * F.lit(1 << (LIMB_BITS * i)).cast("decimal(38,0)")
+        total = term if total is None else total + term
+    return total.cast("decimal(38,0)")
+
+
+def checksum_limbs(fp: Column) -> list[Column]:
+    """Limbs of the fingerprint's first 60 bits (the high 64 bits shifted right by 4, so never negative)."""
+    hi, _ = fingerprint_halves(fp)
+    return limbs(F.shiftrightunsigned(hi, 4))
+
+
 def report_value(column: ColumnInfo, c: Column | None = None) -> Column:
     """A value as a report shows it: temporal values as canonical text, numbers and text natively."""
     c = col(column.name) if c is None else c

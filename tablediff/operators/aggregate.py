@@ -7,28 +7,60 @@ so they are a separate step (:func:`duplicate_key_rows`) that a comparison runs
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import checksum_term, col, fingerprint
+from pyspark.sql import types as T
+
+from ..functions.canonical import checksum_limbs, col, fingerprint, from_limbs, limbs
 from ..functions.types import ColumnInfo, is_floating, is_integral
 from .columns import ColumnSets
+from .parallel import spread
 
 CANDIDATE = "candidate"
 BASELINE = "baseline"
 SIDE = "side"
 
 
-def _sum(c: ColumnInfo) -> Column:
-    """Exact sums: integers are widened to decimal(38,0) first (a bigint sum raises on overflow under ANSI);
-    decimals keep their scale; IEEE floats are summed as doubles and only inform."""
-    if is_integral(c.data_type):
-        return F.sum(col(c.name).cast("decimal(38,0)"))
+def _limbed(c: ColumnInfo) -> bool:
+    """Integers and decimals whose unscaled value fits a long are summed exactly in long limbs."""
+    t = c.data_type
+    return is_integral(t) or (isinstance(t, T.DecimalType) and t.precision <= 18)
+
+
+def _unscaled(c: ColumnInfo) -> Column:
+    t = c.data_type
+    if isinstance(t, T.DecimalType) and t.scale > 0:
+        return (col(c.name) * F.lit(10**t.scale)).cast("bigint")
+    return col(c.name).cast("bigint")
+
+
+def _sum_partials(c: ColumnInfo, i: int) -> list[Column]:
+    """Aggregate expressions whose results :func:`_sum_final` turns into the column's exact sum.
+
+    Integers (and short decimals, by their unscaled value) are summed as 21-bit limbs in longs; long decimals keep
+    Spark's decimal sum; IEEE floats are summed as doubles and only inform.
+    """
+    if _limbed(c):
+        return [F.sum(part).alias(f"_s{i}_{j}") for j, part in enumerate(limbs(_unscaled(c)))]
     if is_floating(c.data_type):
-        return F.sum(col(c.name).cast("double"))
-    return F.sum(col(c.name))
+        return [F.sum(col(c.name).cast("double")).alias(f"_s{i}_0")]
+    return [F.sum(col(c.name)).alias(f"_s{i}_0")]
+
+
+def _sum_final(c: ColumnInfo, i: int) -> Column:
+    if _limbed(c):
+        total = from_limbs([col(f"_s{i}_{j}") for j in range(3)])
+        t = c.data_type
+        if isinstance(t, T.DecimalType) and t.scale > 0:
+            # Rescaled through the exact integer text: decimal division would round the scale. Runs once per side.
+            total = F.concat(total.cast("string"), F.lit(f"E-{t.scale}")).cast(T.DecimalType(38, t.scale))
+        return total
+    return col(f"_s{i}_0")
 
 
 def sum_name(c: ColumnInfo) -> str:
@@ -48,28 +80,41 @@ def max_name(c: ColumnInfo) -> str:
 
 
 def aggregate_exprs(cs: ColumnSets) -> list[Column]:
+    """Partial aggregate expressions; :func:`final_exprs` gives the reported values from their results."""
     exprs = [F.count(F.lit(1)).alias("row_count")]
-    exprs += [_sum(c).alias(sum_name(c)) for c in cs.sum_columns]
+    for i, c in enumerate(cs.sum_columns):
+        exprs += _sum_partials(c, i)
     exprs += [F.count(col(c.name)).alias(nonnull_name(c)) for c in cs.null_columns]
     for c in cs.tolerance_columns:
         exprs += [F.min(col(c.name)).alias(min_name(c)), F.max(col(c.name)).alias(max_name(c))]
     if cs.fingerprint_columns:
-        exprs.append(F.sum(checksum_term(fingerprint(cs.fingerprint_columns))).alias("checksum"))
+        exprs += [F.sum(part).alias(f"_ck_{j}") for j, part in enumerate(checksum_limbs(fingerprint(cs.fingerprint_columns)))]
     return exprs
 
 
+def final_exprs(cs: ColumnSets) -> list[Column]:
+    out = [col("row_count")]
+    out += [_sum_final(c, i).alias(sum_name(c)) for i, c in enumerate(cs.sum_columns)]
+    out += [col(nonnull_name(c)) for c in cs.null_columns]
+    for c in cs.tolerance_columns:
+        out += [col(min_name(c)), col(max_name(c))]
+    if cs.fingerprint_columns:
+        out.append(from_limbs([col(f"_ck_{j}") for j in range(3)]).alias("checksum"))
+    return out
+
+
 def tag_sides(candidate: DataFrame, baseline: DataFrame, columns: list[str]) -> DataFrame:
     """Both sides projected to ``columns`` (pruned at the scan) and stacked with a side tag."""
     proj = [col(n) for n in columns]
-    return candidate.select(*proj, F.lit(CANDIDATE).alias(SIDE)).unionByName(
-        baseline.select(*proj, F.lit(BASELINE).alias(SIDE))
+    return spread(candidate).select(*proj, F.lit(CANDIDATE).alias(SIDE)).unionByName(
+        spread(baseline).select(*proj, F.lit(BASELINE).alias(SIDE))
     )
 
 
 def aggregate_values(candidate: DataFrame, baseline: DataFrame, cs: ColumnSets) -> DataFrame:
     """One row per side: row_count, sum__c, nonnull__c, min__c/max__c (tolerance columns), checksum."""
     tagged = tag_sides(candidate, baseline, [c.name for c in cs.compared])
-    values = tagged.groupBy(SIDE).agg(*aggregate_exprs(cs))
+    values = tagged.groupBy(SIDE).agg(*aggregate_exprs(cs)).select(SIDE, *final_exprs(cs))
     # A side without rows has no group; give it its empty aggregate (count 0, sums NULL).
     sides = candidate.sparkSession.createDataFrame([(CANDIDATE,), (BASELINE,)], f"{SIDE} string")
     filled = sides.join(values, SIDE, "left")
@@ -95,8 +140,8 @@ def duplicate_key_rows(candidate: DataFrame, baseline: DataFrame, keys: tuple[Co
     """Per side: rows minus distinct keys (NULL is a key value). One shuffle of the narrow keys; partial aggregation
     collapses a hot key inside each task before it is exchanged."""
     kcols = [f"k{i}" for i in range(len(keys))]
-    tagged = candidate.select(*key_exprs(keys), F.lit(CANDIDATE).alias(SIDE)).unionByName(
-        baseline.select(*key_exprs(keys), F.lit(BASELINE).alias(SIDE))
+    tagged = spread(candidate).select(*key_exprs(keys), F.lit(CANDIDATE).alias(SIDE)).unionByName(
+        spread(baseline).select(*key_exprs(keys), F.lit(BASELINE).alias(SIDE))
     )
     per_key = tagged.groupBy(SIDE, *kcols).agg(F.count(F.lit(1)).alias("n"))
     per_side = per_key.groupBy(SIDE).agg((F.sum("n") - F.count(F.lit(1))).alias("duplicate_key_rows"))
@@ -189,6 +234,100 @@ def aggregate_checks(values: DataFrame, cs: ColumnSets, with_duplicates: bool |
     return w.select(F.inline(F.array(*checks)))
 
 
+def _java_double_text(d: float) -> str:
+    """A double as Spark casts it to text: plain between 1e-3 and 1e7, otherwise ``d.dddE<exp>``."""
+    if d != d:
+        return "NaN"
+    if d in (float("inf"), float("-inf")):
+        return "Infinity" if d > 0 else "-Infinity"
+    if d == 0:
+        return "-0.0" if math.copysign(1.0, d) < 0 else "0.0"
+    if 1e-3 <= abs(d) < 1e7:
+        r = repr(d)
+        return r if "." in r else r + ".0"
+    sign, digits, exp = Decimal(repr(d)).normalize().as_tuple()
+    text = "".join(map(str, digits))
+    return ("-" if sign else "") + text[0] + "." + (text[1:] or "0") + "E" + str(len(digits) - 1 + exp)
+
+
+def _value_text(v) -> str | None:
+    if v is None:
+        return None
+    if isinstance(v, float):
+        return _java_double_text(v)
+    if isinstance(v, Decimal):
+        return format(v, "f")
+    return str(v)
+
+
+def checks_from_rows(values: dict[str, dict], cs: ColumnSets, with_duplicates: bool) -> list[dict]:
+    """The checks of :func:`aggregate_checks`, evaluated on the driver from the two collected aggregate rows.
+
+    A comparison already holds these two rows, so deciding the gate needs no further Spark job.
+    """
+    c, b = values[CANDIDATE], values[BASELINE]
+    out = []
+
+    def add(name, column, cv, bv, agrees, method="exact", tol=None, decisive=True):
+        out.append(
+            {
+                "check_name": name,
+                "column_name": column,
+                "candidate": _value_text(cv),
+                "baseline": _value_text(bv),
+                "agrees": bool(agrees),
+                "method": method,
+                "tolerance": None if tol is None else format(tol, "f"),
+                "decisive": decisive,
+            }
+        )
+
+    def within(x, y, allowed):
+        if x is None or y is None:
+            return x is None and y is None
+        return abs(x - y) <= allowed
+
+    rows_c, rows_b = c["row_count"], b["row_count"]
+    add("row_count", None, rows_c, rows_b, rows_c == rows_b)
+    most = max(rows_c, rows_b)
+    for ci in cs.sum_columns:
+        n = sum_name(ci)
+        tol = cs.tolerances.get(ci.name)
+        if tol is not None:
+            allowed = float(tol * most) if ci.floating else tol * most
+            add("sum", ci.name, c[n], b[n], within(c[n], b[n], allowed), "tolerance", tol)
+        elif ci.floating:
+            add("sum", ci.name, c[n], b[n], c[n] == b[n], "informational", None, False)
+        else:
+            add("sum", ci.name, c[n], b[n], c[n] == b[n])
+    for ci in cs.tolerance_columns:
+        tol = cs.tolerances[ci.name]
+        allowed = float(tol) if ci.floating else tol
+        for kind, name_of in (("min", min_name), ("max", max_name)):
+            n = name_of(ci)
+            add(kind, ci.name, c[n], b[n], within(c[n], b[n], allowed), "tolerance", tol)
+    for ci in cs.null_columns:
+        n = nonnull_name(ci)
+        add("null_count", ci.name, rows_c - c[n], rows_b - b[n], rows_c - c[n] == rows_b - b[n])
+    if cs.fingerprint_columns:
+        add("checksum", None, c["checksum"], b["checksum"], c["checksum"] == b["checksum"])
+    if cs.key_columns and with_duplicates:
+        cd, bd = c["duplicate_key_rows"], b["duplicate_key_rows"]
+        add("duplicate_key_rows", None, cd, bd, cd == 0 and bd == 0)
+    return out
+
+
+def collect_checks(candidate: DataFrame, baseline: DataFrame, cs: ColumnSets, duplicates: bool = True) -> list[dict]:
+    """The aggregate check as a comparison runs it: one job for both sides' aggregates, one for duplicate keys (when
+    there are keys and ``duplicates``), then the checks on the driver from those few collected values."""
+    values = {r[SIDE]: r.asDict() for r in aggregate_values(candidate, baseline, cs).collect()}
+    with_dups = bool(cs.key_columns) and duplicates
+    if with_dups:
+        for r in duplicate_key_rows(candidate, baseline, cs.key_columns).collect():
+            values[r[SIDE]]["duplicate_key_rows"] = r["duplicate_key_rows"]
+    return checks_from_rows(values, cs, with_dups)
+
+
 def gate(checks: DataFrame) -> DataFrame:
     """One row, one boolean: every decisive check agrees."""
     return checks.agg(F.coalesce(F.bool_and(col("agrees") | ~col("decisive")), F.lit(True)).alias("gate"))

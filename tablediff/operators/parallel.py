@@ -1,0 +1,45 @@
+"""Spreading a small input over the cluster's cores before per-row hashing.
+
+A Parquet file with one row group, or a JDBC read without a partition column, arrives as a single busy partition, so
+the per-row fingerprint work would run in one task. A small input (by Catalyst's size estimate) or one with fewer
+partitions than the cluster has cores is redistributed round-robin first; shuffling it costs little. Large inputs
+already arrive as many file splits and are left alone, so this never adds a shuffle where the data is big.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame
+
+# Inputs estimated at or below this size are always spread: their row-group layout is unknown, and moving them is
+# cheap next to hashing every row in one task.
+SMALL_INPUT_BYTES = int(os.environ.get("TABLEDIFF_SMALL_INPUT_BYTES", 256 * 1024 * 1024))
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate available
+        return None
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    cached = getattr(df, "_tablediff_spread", None)
+    if cached is not None:
+        return cached
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - a plan that cannot be inspected is used as it is
+        return df
+    size = estimated_bytes(df)
+    small = size is not None and size <= SMALL_INPUT_BYTES
+    out = df.repartition(target) if (n < target or small) else df
+    # The decision is remembered on the input, so operators sharing one side plan it once.
+    try:
+        df._tablediff_spread = out
+    except AttributeError:
+        pass
+    return out

@@ -132,3 +132,30 @@ def test_empty_sides_pass(spark):
     r = run_pair(spark, e, e)
     assert r.verdict == "PASS"
     assert check(r, "checksum")["candidate"] is None
+
+
+def test_driver_checks_equal_spark_checks(spark):
+    from conftest import SF01
+
+    from tablediff.operators import aggregate as agg
+    from tablediff.operators.columns import column_sets
+    from tablediff.plans import fixtures as fx
+
+    cand, base = fx.orders_pair(spark, SF01)
+    for tol in (fx.ORDERS_TOLERANCES, {}):
+        cs = column_sets(cand.schema, fx.ORDERS_KEYS, (), tol)
+        values = agg.with_duplicates(agg.aggregate_values(cand, base, cs), agg.duplicate_key_rows(cand, base, cs.key_columns))
+        rows = {r[agg.SIDE]: r.asDict() for r in values.collect()}
+        local = agg.checks_from_rows(rows, cs, True)
+        remote = [r.asDict() for r in agg.aggregate_checks(spark.createDataFrame(list(rows.values()), values.schema), cs).collect()]
+        key = lambda r: (r["check_name"], r["column_name"] or "")
+        assert sorted(local, key=key) == sorted(remote, key=key)
+
+
+def test_double_text_matches_spark(spark):
+    from tablediff.operators.aggregate import _java_double_text
+
+    vals = [0.0, -0.0, 1.0, 17.5, 0.001, 0.0001, 1e7, 12345678.9, 1e16, -2.5e-5, 3.795513536385995e9, 1e300]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.selectExpr("cast(v as string)").collect()]
+    assert [_java_double_text(v) for v in vals] == got
