@@ -112,16 +112,17 @@ def tag_sides(candidate: DataFrame, baseline: DataFrame, columns: list[str]) ->
 
 
 def aggregate_values(candidate: DataFrame, baseline: DataFrame, cs: ColumnSets) -> DataFrame:
-    """One row per side: row_count, sum__c, nonnull__c, min__c/max__c (tolerance columns), checksum."""
-    tagged = tag_sides(candidate, baseline, [c.name for c in cs.compared])
-    values = tagged.groupBy(SIDE).agg(*aggregate_exprs(cs)).select(SIDE, *final_exprs(cs))
-    # A side without rows has no group; give it its empty aggregate (count 0, sums NULL).
-    sides = candidate.sparkSession.createDataFrame([(CANDIDATE,), (BASELINE,)], f"{SIDE} string")
-    filled = sides.join(values, SIDE, "left")
-    counts = ["row_count"] + [nonnull_name(c) for c in cs.null_columns]
-    return filled.select(
-        SIDE, *[F.coalesce(col(n), F.lit(0).cast("bigint")).alias(n) if n in counts else col(n) for n in values.columns if n != SIDE]
-    )
+    """One row per side: row_count, sum__c, nonnull__c, min__c/max__c (tolerance columns), checksum.
+
+    Each side is one global aggregate (a global aggregate yields its row even for no input: count 0, sums NULL);
+    the two are unioned, so both scans run in one job and only one partial row per task is exchanged.
+    """
+    proj = [col(c.name) for c in cs.compared]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return spread(df).select(*proj).agg(*aggregate_exprs(cs)).select(F.lit(name).alias(SIDE), *final_exprs(cs))
+
+    return side(candidate, CANDIDATE).unionByName(side(baseline, BASELINE))
 
 
 def key_exprs(keys: tuple[ColumnInfo, ...] | list[ColumnInfo]) -> list[Column]:
@@ -137,18 +138,17 @@ def key_exprs(keys: tuple[ColumnInfo, ...] | list[ColumnInfo]) -> list[Column]:
 
 
 def duplicate_key_rows(candidate: DataFrame, baseline: DataFrame, keys: tuple[ColumnInfo, ...]) -> DataFrame:
-    """Per side: rows minus distinct keys (NULL is a key value). One shuffle of the narrow keys; partial aggregation
-    collapses a hot key inside each task before it is exchanged."""
+    """Per side: rows minus distinct keys (NULL is a key value). One shuffle of the narrow keys per side; partial
+    aggregation collapses a hot key inside each task before it is exchanged."""
     kcols = [f"k{i}" for i in range(len(keys))]
-    tagged = spread(candidate).select(*key_exprs(keys), F.lit(CANDIDATE).alias(SIDE)).unionByName(
-        spread(baseline).select(*key_exprs(keys), F.lit(BASELINE).alias(SIDE))
-    )
-    per_key = tagged.groupBy(SIDE, *kcols).agg(F.count(F.lit(1)).alias("n"))
-    per_side = per_key.groupBy(SIDE).agg((F.sum("n") - F.count(F.lit(1))).alias("duplicate_key_rows"))
-    sides = candidate.sparkSession.createDataFrame([(CANDIDATE,), (BASELINE,)], f"{SIDE} string")
-    return sides.join(per_side, SIDE, "left").select(
-        SIDE, F.coalesce("duplicate_key_rows", F.lit(0).cast("bigint")).alias("duplicate_key_rows")
-    )
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        per_key = spread(df).select(*key_exprs(keys)).groupBy(*kcols).agg(F.count(F.lit(1)).alias("n"))
+        return per_key.agg(
+            F.coalesce(F.sum("n") - F.count(F.lit(1)), F.lit(0).cast("bigint")).alias("duplicate_key_rows")
+        ).select(F.lit(name).alias(SIDE), "duplicate_key_rows")
+
+    return side(candidate, CANDIDATE).unionByName(side(baseline, BASELINE))
 
 
 def wide_pair(values: DataFrame) -> DataFrame:
