@@ -1,0 +1,146 @@
+"""Abandoned runs, found continuously: a run whose heartbeats stop without a final event is reported ABANDONED.
+
+Each run appends small heartbeat events (``run_id, pipeline, status, heartbeat_at``) while it works and a final one
+when it ends. A stateful streaming query keeps, per open run, its last heartbeat; an event-time timeout fires once the
+watermark (the latest heartbeat seen from any run) is more than ``stale_after`` past it, and the run is emitted as
+ABANDONED with verdict ERROR. State exists only for runs still open, and is dropped when a run ends or times out.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..plans.history import ABANDONED_REASON
+
+HEARTBEAT_SCHEMA = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("pipeline", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("heartbeat_at", T.StringType()),
+    ]
+)
+
+OUTPUT_SCHEMA = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("pipeline", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("verdict", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("heartbeat_at", T.StringType()),
+    ]
+)
+
+STATE_SCHEMA = T.StructType(
+    [
+        T.StructField("pipeline", T.StringType()),
+        T.StructField("last_ms", T.LongType()),
+        T.StructField("last_text", T.StringType()),
+    ]
+)
+
+
+def heartbeat_folder(results_root: str) -> str:
+    return f"{results_root.rstrip('/')}/_heartbeats"
+
+
+def write_heartbeat(spark: SparkSession, results_root: str, run_id: str, pipeline: str, status: str, at: str | None = None) -> str:
+    """Append one heartbeat event as its own small JSON file (a new file per event, so a file stream sees it).
+
+    Written through the Hadoop file system of ``results_root`` (a shared store on a cluster) and renamed into place,
+    so a reader never sees half a file.
+    """
+    at = at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
+    line = json.dumps({"run_id": run_id, "pipeline": pipeline, "status": status, "heartbeat_at": at}) + "\n"
+    jvm = spark.sparkContext._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    folder = heartbeat_folder(results_root)
+    name = f"{run_id}-{uuid.uuid4().hex}.json"
+    fs = Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tmp = Path(f"{folder}/_tmp/{name}")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(line.encode("utf-8")))
+    finally:
+        out.close()
+    target = Path(f"{folder}/{name}")
+    fs.rename(tmp, target)
+    return target.toString()
+
+
+def read_heartbeats(spark: SparkSession, results_root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The heartbeat events as a stream, with the event time parsed."""
+    reader = spark.readStream.schema(HEARTBEAT_SCHEMA).option("pathGlobFilter", "*.json")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    events = reader.json(heartbeat_folder(results_root))
+    return events.where(F.col("run_id").isNotNull() & F.col("heartbeat_at").isNotNull()).withColumn(
+        "heartbeat_ts", F.try_to_timestamp(F.col("heartbeat_at"))
+    ).where(F.col("heartbeat_ts").isNotNull())
+
+
+def _tracker(stale_after_ms: int):
+    def track(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (run_id,) = key
+        if state.hasTimedOut:
+            pipeline, _, last_text = state.get
+            state.remove()
+            yield pd.DataFrame(
+                [[run_id, pipeline, "ABANDONED", "ERROR", ABANDONED_REASON.format(last_text), last_text]],
+                columns=[f.name for f in OUTPUT_SCHEMA.fields],
+            )
+            return
+        pipeline, last_ms, last_text = state.get if state.exists else (None, None, None)
+        ended = False
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ms = int(pd.Timestamp(row.heartbeat_ts).value // 1_000_000)
+                if last_ms is None or ms >= last_ms:
+                    last_ms, last_text, pipeline = ms, row.heartbeat_at, row.pipeline
+                if row.status != "RUNNING":
+                    ended = True
+        if ended:
+            state.remove()
+            return
+        state.update((pipeline, last_ms, last_text))
+        state.setTimeoutTimestamp(last_ms + stale_after_ms)
+        return
+
+    return track
+
+
+def abandoned_runs_stream(heartbeats: DataFrame, stale_after_seconds: float, watermark_delay: str = "0 seconds") -> DataFrame:
+    """Runs whose heartbeat stopped, as a streaming DataFrame (append mode)."""
+    stale_ms = int(round(stale_after_seconds * 1000))
+    return (
+        heartbeats.withWatermark("heartbeat_ts", watermark_delay)
+        .groupBy("run_id")
+        .applyInPandasWithState(_tracker(stale_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
+def start_sweep(
+    spark: SparkSession,
+    results_root: str,
+    stale_after_seconds: float,
+    checkpoint_location: str,
+    on_abandoned,
+    trigger: dict | None = None,
+):
+    """Start the sweep: ``on_abandoned(batch_df, batch_id)`` receives each micro-batch of abandoned runs (for example
+    to store their records as ABANDONED). ``checkpoint_location`` must be on shared storage; it holds the per-run state
+    so the sweep resumes after a restart without losing open runs."""
+    stream = abandoned_runs_stream(read_heartbeats(spark, results_root), stale_after_seconds)
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location).foreachBatch(on_abandoned)
+    writer = writer.trigger(**(trigger or {"processingTime": "30 seconds"}))
+    return writer.start()

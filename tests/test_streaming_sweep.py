@@ -1,0 +1,19 @@
+from tablediff.streaming.sweep import abandoned_runs_stream, read_heartbeats, write_heartbeat
+
+
+def test_heartbeat_stream_reports_only_silent_runs(spark, tmp_dir):
+    root = f"{tmp_dir}/results"
+    write_heartbeat(spark, root, "r1", "p", "RUNNING", "2026-09-01T10:00:00.000Z")
+    write_heartbeat(spark, root, "r1", "p", "RUNNING", "2026-09-01T10:00:01.000Z")
+    write_heartbeat(spark, root, "r2", "p", "RUNNING", "2026-09-01T10:00:00.000Z")
+    write_heartbeat(spark, root, "r2", "p", "COMPLETED", "2026-09-01T10:00:02.000Z")
+    write_heartbeat(spark, root, "r3", "q", "RUNNING", "2026-09-01T10:01:40.000Z")
+    stream = abandoned_runs_stream(read_heartbeats(spark, root), stale_after_seconds=10)
+    q = (
+        stream.writeStream.format("memory").queryName("abandoned_test").outputMode("append")
+        .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start()
+    )
+    q.awaitTermination(120)
+    rows = spark.sql("SELECT * FROM abandoned_test").collect()
+    assert [(r["run_id"], r["status"], r["verdict"]) for r in rows] == [("r1", "ABANDONED", "ERROR")]
+    assert "2026-09-01T10:00:01.000Z" in rows[0]["reason"]
