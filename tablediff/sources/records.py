@@ -69,11 +69,24 @@ def read_run_records(spark: SparkSession, root: str, pipeline: str | None = None
     return records
 
 
+def read_run_record(spark: SparkSession, root: str, pipeline: str, run_id: str) -> dict | None:
+    """One run's record, or None. Reads only that run's folder."""
+    try:
+        lines = spark.read.text(f"{record_path(root, pipeline, run_id)}/run.json")
+        lines.schema
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
+    rows = parse_run_records(lines).where((F.col("pipeline") == pipeline) & (F.col("run_id") == run_id)).take(1)
+    return rows[0].asDict(recursive=True) if rows else None
+
+
 def write_run_record(spark: SparkSession, root: str, record: dict) -> str:
     """Replace the run's record with ``record`` (one JSON line). Returns the record's folder.
 
-    The record is written through Spark's JSON writer into the run's own folder with overwrite mode, so a reader
-    never sees a half-replaced record of another run.
+    The line is written as a single part file into the run's own folder and renamed to ``run.json`` through the
+    Hadoop file system, so this works on any shared store and never touches another run's record.
     """
     folder = record_path(root, record["pipeline"], record["run_id"])
     line = json.dumps(record, sort_keys=False, default=str)
@@ -102,4 +115,6 @@ def write_mismatches(sample: DataFrame, root: str, pipeline: str, run_id: str, d
     return path
 
 
-__all__ = ["RECORD_SCHEMA", "parse_run_records", "read_run_records", "write_run_record", "write_mismatches"]
+__all__ = [
+    "RECORD_SCHEMA", "parse_run_records", "read_run_record", "read_run_records", "write_run_record", "write_mismatches",
+]

@@ -7,7 +7,7 @@ from tablediff.plans import history as hist
 from tablediff.plans import verdict as vd
 from tablediff.plans.compare import compare, compare_all, run_verdict
 from tablediff.sources import records as rs
-from tablediff.spec import ComparisonSpec, Location
+from tablediff.spec import ComparisonSpec, Environment, Environments, Location, RowRange, run_from_dict, spec_from_dict
 
 
 def write_parquet(spark, rows, ddl, path):
@@ -37,14 +37,16 @@ def test_multi_dataset_run_isolates_errors(spark, tmp_dir):
     write_parquet(spark, [(1, "a")], ddl, f"{tmp_dir}/c/diff")
     write_parquet(spark, [(1, "b")], ddl, f"{tmp_dir}/b/diff")
     write_parquet(spark, [(1, "a")], ddl, f"{tmp_dir}/c/onlyc")
+    write_parquet(spark, [(1, "a")], ddl, f"{tmp_dir}/c/x")
     specs = [
-        ComparisonSpec("good", Location(path=f"{tmp_dir}/c/good"), Location(path=f"{tmp_dir}/b/good"), key_columns=("id",), full_refresh=True),
-        ComparisonSpec("diff", Location(path=f"{tmp_dir}/c/diff"), Location(path=f"{tmp_dir}/b/diff"), key_columns=("id",), full_refresh=True),
-        ComparisonSpec("onlyc", Location(path=f"{tmp_dir}/c/onlyc"), Location(path=f"{tmp_dir}/b/onlyc"), key_columns=("id",), full_refresh=True),
-        ComparisonSpec("new", Location(path=f"{tmp_dir}/c/x"), Location(path=f"{tmp_dir}/b/x"), new_dataset=True),
+        ComparisonSpec("good", Location(path="good"), Location(path="good"), key_columns=("id",), full_refresh=True),
+        ComparisonSpec("diff", Location(path="diff"), Location(path="diff"), key_columns=("id",), full_refresh=True),
+        ComparisonSpec("onlyc", Location(path="onlyc"), Location(path="onlyc"), key_columns=("id",), full_refresh=True),
+        ComparisonSpec("new", Location(path="x"), Location(path="x"), new_dataset=True),
     ]
     root = f"{tmp_dir}/results"
-    record = compare_all(spark, "orders-consolidation", specs, results_root=root, run_id="r1")
+    envs = Environments(Environment(root=f"{tmp_dir}/c"), Environment(root=f"{tmp_dir}/b"))
+    record = compare_all(spark, "orders-consolidation", specs, envs=envs, results_root=root, run_id="r1")
     verdicts = {d["name"]: d["verdict"] for d in record["datasets"]}
     assert verdicts == {"good": "PASS", "diff": "FAIL", "onlyc": "ERROR", "new": "SKIPPED"}
     assert "baseline" in [d for d in record["datasets"] if d["name"] == "onlyc"][0]["reason"]
@@ -57,6 +59,39 @@ def test_multi_dataset_run_isolates_errors(spark, tmp_dir):
     stored = rs.read_run_records(spark, root, "orders-consolidation").collect()
     assert len(stored) == 1 and stored[0]["verdict"] == "FAIL"
     assert {d["name"]: d["verdict"] for d in stored[0]["datasets"]} == verdicts
+    one = rs.read_run_record(spark, root, "orders-consolidation", "r1")
+    assert one["run_id"] == "r1" and one["unverified_datasets"] == ["new"]
+    assert rs.read_run_record(spark, root, "orders-consolidation", "nope") is None
+
+
+def test_run_with_invalid_specs_is_refused_before_comparing(spark, tmp_dir):
+    import pytest
+
+    write_parquet(spark, [(1, "a")], "id bigint, name string", f"{tmp_dir}/c/t")
+    envs = Environments(Environment(root=f"{tmp_dir}/c"), Environment(root=f"{tmp_dir}/b"))
+    typo = ComparisonSpec("t", Location(path="tt"), Location(path="tt"), key_columns=("id",), full_refresh=True)
+    with pytest.raises(ValueError, match="neither side"):
+        compare_all(spark, "p", [typo], envs=envs)
+    bad_key = ComparisonSpec("t", Location(path="t"), Location(path="t"), key_columns=("nope",), full_refresh=True)
+    with pytest.raises(ValueError, match="key column 'nope' does not exist"):
+        compare_all(spark, "p", [bad_key], envs=envs)
+
+
+def test_specs_from_plain_data_reject_unknown_fields():
+    import pytest
+
+    pipeline, specs, rng = run_from_dict(
+        {
+            "pipeline": "p",
+            "range": {"from": "2026-09-01", "to": "2026-09-08"},
+            "datasets": [{"name": "t", "candidate": {"path": "a"}, "baseline": {"path": "a"}, "key_columns": ["id"], "range_column": "d"}],
+        }
+    )
+    assert pipeline == "p" and rng == RowRange("2026-09-01", "2026-09-08") and specs[0].key_columns == ("id",)
+    with pytest.raises(ValueError, match="unknown"):
+        spec_from_dict({"name": "t", "candidate": {"path": "a"}, "baseline": {"path": "a"}, "keyColumnz": ["id"]})
+    with pytest.raises(ValueError, match="unknown"):
+        run_from_dict({"pipeline": "p", "datasets": [], "callback": "http://x"})
 
 
 def test_new_dataset_is_never_read(spark):
@@ -71,6 +106,15 @@ def test_empty_versus_missing(spark, tmp_dir):
     assert r.verdict == "ERROR" and "baseline" in r.reason
 
 
+def test_new_dataset_found_nowhere_is_still_a_typo(spark, tmp_dir):
+    import pytest
+
+    envs = Environments(Environment(root=f"{tmp_dir}/c"), Environment(root=f"{tmp_dir}/b"))
+    spec = ComparisonSpec("n", Location(path="n"), Location(path="n"), new_dataset=True)
+    with pytest.raises(ValueError, match="neither side"):
+        compare_all(spark, "p", [spec], envs=envs)
+
+
 def test_nested_parquet_folders_read_recursively(spark, tmp_dir):
     ddl = "id bigint, name string"
     write_parquet(spark, [(1, "a")], ddl, f"{tmp_dir}/c/t/sub1")
