@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -340,7 +339,3 @@ def agree(check_rows) -> bool:
 
 def with_duplicates(values: DataFrame, dups: DataFrame) -> DataFrame:
     return values.join(dups, SIDE, "left")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -155,3 +155,17 @@ def test_jdbc_options_are_quoted_and_bounded():
 def test_categories_are_distinct():
     assert len({c for c in Category}) == 6
     assert Category.TIMESTAMP is not Category.DATE
+
+
+def test_limb_checksum_equals_sum_of_sixty_bit_prefixes(spark):
+    from pyspark.sql import functions as F
+
+    from tablediff.functions.canonical import checksum_limbs, checksum_term, from_limbs
+
+    df = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    fp = fingerprint(columns_of(df.schema))
+    row = df.agg(
+        F.sum(checksum_term(fp)).alias("text_form"),
+        *[F.sum(x).alias(f"l{i}") for i, x in enumerate(checksum_limbs(fp))],
+    ).select("text_form", from_limbs([F.col("l0"), F.col("l1"), F.col("l2")]).alias("limb_form")).collect()[0]
+    assert row["text_form"] == row["limb_form"]
