@@ -319,17 +319,10 @@ def row_diff_sample(spark, sf_dir):
 
 
 def differing_columns(spark, sf_dir):
-    """Differing columns of every changed key (not only the sampled ones): a shuffle join of both sides with the
-    changed keys, then the per-column comparison with the price tolerance."""
-    cand, base, cs, diff = _orders_diff(spark, sf_dir)
-    changed = diff.where(col("mismatch_type") == rd.DIFFERENT)
-    ks = rd.key_names(len(cs.key_columns))
-    c_rows = cand.select(*agg.key_exprs(cs.key_columns), *[col(c.name).alias("c__" + c.name) for c in cs.compared])
-    b_rows = base.select(*[e.alias("b" + n) for e, n in zip(agg.key_exprs(cs.key_columns), ks)], *[col(c.name).alias("b__" + c.name) for c in cs.compared])
-    joined = changed.join(c_rows, ks, "inner")
-    joined = joined.join(b_rows, reduce(lambda a, b: a & b, [col(k).eqNullSafe(col("b" + k)) for k in ks]), "inner")
-    names = rd.differing_columns(cs.compared, cs.tolerances)
-    return rd.rename_keys(joined.select(*ks, F.explode(names).alias("column_name")), cs.key_columns)
+    """Differing columns of every changed key (not only the sampled ones), with the price tolerance."""
+    cand, base, cs = _orders(spark, sf_dir)
+    out = rd.differing_columns_by_key(cand, base, cs.key_columns, cs.compared, cs.fingerprint_columns, cs.tolerances)
+    return rd.rename_keys(out, cs.key_columns)
 
 
 # --- keyless -------------------------------------------------------------------------------------------------------
