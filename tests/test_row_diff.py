@@ -24,6 +24,7 @@ def test_one_value_differs(spark):
     r = run_pair(spark, c, b)
     assert r.verdict == "FAIL"
     assert (r.row_diff["different"], r.row_diff["only_in_candidate"], r.row_diff["only_in_baseline"]) == (1, 0, 0)
+    assert [(s["mismatch_type"], s["differing_columns"]) for s in r.samples] == [("different", ["name"])]
 
 
 def test_one_value_differs_sample(spark):
