@@ -122,10 +122,18 @@ def key_fingerprint(spark, sf_dir):
 # --- aggregate check -----------------------------------------------------------------------------------------------
 
 
+def _exact_text(values: DataFrame) -> DataFrame:
+    """Decimal columns as their exact text: the registered outputs then compare across engines without any engine
+    turning a wide decimal into a float on the way out."""
+    return values.select(
+        *[col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) else col(f.name) for f in values.schema.fields]
+    )
+
+
 def _side_values(spark, sf_dir, names_of) -> DataFrame:
     cand, base, cs = _orders(spark, sf_dir)
     values = _values(cand, base, cs)
-    return values.select(agg.SIDE, *names_of(cs))
+    return _exact_text(values.select(agg.SIDE, *names_of(cs)))
 
 
 def agg_row_count(spark, sf_dir):
@@ -161,9 +169,11 @@ def agg_duplicate_rows(spark, sf_dir):
 def agg_float_sum(spark, sf_dir):
     cand, base, cs = _orders(spark, sf_dir)
     values = _values(cand, base, cs)
-    return values.select(
-        agg.SIDE,
-        *[F.round(col(agg.sum_name(c)), 2).cast("decimal(38,2)").alias(agg.sum_name(c)) for c in cs.sum_columns if c.floating],
+    return _exact_text(
+        values.select(
+            agg.SIDE,
+            *[F.round(col(agg.sum_name(c)), 2).cast("decimal(38,2)").alias(agg.sum_name(c)) for c in cs.sum_columns if c.floating],
+        )
     )
 
 
@@ -176,7 +186,7 @@ def aggregate_values(spark, sf_dir):
         if n.startswith("sum__") and n[len("sum__"):] in {x.name for x in cs.sum_columns if x.floating}:
             c = F.round(c, 2).cast("decimal(38,2)")
         out.append(c.alias(n))
-    return values.select(*out)
+    return _exact_text(values.select(*out))
 
 
 def aggregate_check(spark, sf_dir):
@@ -306,10 +316,12 @@ def _sampled_pairs(spark, sf_dir):
 
 
 def sampled_rows(spark, sf_dir):
+    """Both sides' values of the sampled rows, as canonical text (NULL for a side without the row); the price is left
+    out because the text of an IEEE double differs between engines."""
     pairs, cs = _sampled_pairs(spark, sf_dir)
-    keep = [n for n in pairs.columns if not n.startswith(("c__o_totalprice", "b__o_totalprice", "c__o_orderdate", "b__o_orderdate"))]
-    dates = [canonical(c, col(p + c.name)).alias(p + c.name) for c in cs.compared if c.name == "o_orderdate" for p in ("c__", "b__")]
-    return rd.rename_keys(pairs.select(*keep, *dates), cs.key_columns)
+    shown = [c for c in cs.compared if not c.floating]
+    values = [canonical(c, col(p + c.name)).alias(p + c.name) for p in ("c__", "b__") for c in shown]
+    return rd.rename_keys(pairs.select("k0", "mismatch_type", *values), cs.key_columns)
 
 
 def row_diff_sample(spark, sf_dir):
