@@ -9,8 +9,9 @@ already arrive as many file splits and are left alone, so this never adds a shuf
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Inputs estimated at or below this size are always spread: their row-group layout is unknown, and moving them is
 # cheap next to hashing every row in one task.
@@ -19,7 +20,8 @@ SMALL_INPUT_BYTES = int(os.environ.get("TABLEDIFF_SMALL_INPUT_BYTES", 256 * 1024
 
 def estimated_bytes(df: DataFrame) -> int | None:
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
     except Exception:  # noqa: BLE001 - no estimate available
         return None
 
@@ -43,3 +45,43 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     except AttributeError:
         pass
     return out
+
+
+# A shuffle partition should hold about this much; AQE merges smaller ones but cannot split beyond the initial count.
+TARGET_SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 200_000
+INITIAL_PARTITIONS_KEY = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def wanted_shuffle_partitions(*inputs: DataFrame) -> int:
+    """Partitions for a shuffle of (at most) the inputs' size, from Catalyst's size estimates."""
+    total = sum(estimated_bytes(df) or 0 for df in inputs)
+    return min(MAX_SHUFFLE_PARTITIONS, max(1, -(-total // TARGET_SHUFFLE_PARTITION_BYTES)))
+
+
+@contextmanager
+def shuffle_sized_for(spark: SparkSession, *inputs: DataFrame):
+    """Within the block, shuffles start with enough partitions for the inputs' size (AQE still coalesces small ones).
+
+    Only raises the count, never lowers it, and restores the previous setting afterwards.
+    """
+    want = wanted_shuffle_partitions(*inputs)
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    previous = spark.conf.get(INITIAL_PARTITIONS_KEY, None)
+    floor = max(current, int(previous) if previous else 0)
+    if want <= floor:
+        yield
+        return
+    spark.conf.set(INITIAL_PARTITIONS_KEY, str(want))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    if not adaptive:
+        spark.conf.set("spark.sql.shuffle.partitions", str(want))
+    try:
+        yield
+    finally:
+        if previous is None:
+            spark.conf.unset(INITIAL_PARTITIONS_KEY)
+        else:
+            spark.conf.set(INITIAL_PARTITIONS_KEY, previous)
+        if not adaptive:
+            spark.conf.set("spark.sql.shuffle.partitions", str(current))

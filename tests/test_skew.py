@@ -62,3 +62,21 @@ def test_hot_content_keyless(spark):
     assert_partial_then_exchange(bag)
     summary = rd.keyless_summary(bag).collect()[0]
     assert summary["extra_candidate_rows"] == summary["extra_baseline_rows"] > 0
+
+
+def test_shuffle_partitions_follow_input_size(spark):
+    from tablediff.operators import parallel
+
+    small = spark.range(10)
+    assert parallel.wanted_shuffle_partitions(small) == 1
+    before = spark.conf.get(parallel.INITIAL_PARTITIONS_KEY, None)
+    old = parallel.TARGET_SHUFFLE_PARTITION_BYTES
+    parallel.TARGET_SHUFFLE_PARTITION_BYTES = 8  # pretend the input is huge
+    try:
+        want = parallel.wanted_shuffle_partitions(small)
+        assert want > 8
+        with parallel.shuffle_sized_for(spark, small):
+            assert spark.conf.get(parallel.INITIAL_PARTITIONS_KEY) == str(want)
+    finally:
+        parallel.TARGET_SHUFFLE_PARTITION_BYTES = old
+    assert spark.conf.get(parallel.INITIAL_PARTITIONS_KEY, None) == before
