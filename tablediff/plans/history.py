@@ -79,3 +79,21 @@ def with_abandoned(records: DataFrame, as_of: str | dt.datetime, stale_after_sec
 def dataset_verdict_rows(records: DataFrame) -> DataFrame:
     """One row per run and dataset: ``run_id, name, verdict`` from the nested dataset list."""
     return records.select("run_id", F.inline_outer("datasets")).where(F.col("name").isNotNull())
+
+
+def apply_abandoned_events(records: DataFrame, events: DataFrame) -> DataFrame:
+    """Records with the streaming sweep's abandoned-run events applied: a record still RUNNING whose run has an event
+    shows status ABANDONED, verdict ERROR and the event's reason. The events are few (one per dead run); they are
+    joined by run id."""
+    ev = events.select(
+        F.col("run_id").alias("_ev_run"), F.col("pipeline").alias("_ev_pipeline"), F.col("reason").alias("_ev_reason")
+    ).dropDuplicates(["_ev_run", "_ev_pipeline"])
+    joined = records.join(ev, (F.col("run_id") == F.col("_ev_run")) & (F.col("pipeline") == F.col("_ev_pipeline")), "left")
+    gone = F.col("_ev_run").isNotNull() & (F.col("status") == "RUNNING")
+    return joined.withColumns(
+        {
+            "status": F.when(gone, F.lit("ABANDONED")).otherwise(F.col("status")),
+            "verdict": F.when(gone, F.lit("ERROR")).otherwise(F.col("verdict")),
+            "reason": F.when(gone, F.col("_ev_reason")).otherwise(F.col("reason")),
+        }
+    ).drop("_ev_run", "_ev_pipeline", "_ev_reason")

@@ -129,18 +129,46 @@ def abandoned_runs_stream(heartbeats: DataFrame, stale_after_seconds: float, wat
     )
 
 
+def abandoned_folder(results_root: str) -> str:
+    return f"{results_root.rstrip('/')}/_abandoned"
+
+
+def append_abandoned(results_root: str):
+    """A ``foreachBatch`` handler appending each micro-batch of abandoned runs as Parquet under the results root (a
+    distributed write; history applies these events with :func:`tablediff.plans.history.apply_abandoned_events`)."""
+
+    def handle(batch_df: DataFrame, batch_id: int) -> None:
+        batch_df.write.mode("append").parquet(abandoned_folder(results_root))
+
+    return handle
+
+
+def read_abandoned(spark: SparkSession, results_root: str) -> DataFrame:
+    """Abandoned-run events stored by :func:`append_abandoned` (empty when there are none)."""
+    try:
+        return spark.read.schema(OUTPUT_SCHEMA).parquet(abandoned_folder(results_root))
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return spark.createDataFrame([], OUTPUT_SCHEMA)
+        raise
+
+
 def start_sweep(
     spark: SparkSession,
     results_root: str,
     stale_after_seconds: float,
-    checkpoint_location: str,
-    on_abandoned,
+    checkpoint_location: str | None = None,
+    on_abandoned=None,
     trigger: dict | None = None,
 ):
-    """Start the sweep: ``on_abandoned(batch_df, batch_id)`` receives each micro-batch of abandoned runs (for example
-    to store their records as ABANDONED). ``checkpoint_location`` must be on shared storage; it holds the per-run state
-    so the sweep resumes after a restart without losing open runs."""
+    """Start the sweep. ``on_abandoned(batch_df, batch_id)`` receives each micro-batch of abandoned runs; by default
+    they are appended under the results root. ``checkpoint_location`` holds the per-run state so the sweep resumes
+    after a restart without losing open runs; by default it is a folder under the session's ``spark.checkpoint.dir``."""
+    from ..session import checkpoint_dir
+
+    checkpoint_location = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/tablediff-sweep"
     stream = abandoned_runs_stream(read_heartbeats(spark, results_root), stale_after_seconds)
-    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location).foreachBatch(on_abandoned)
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location)
+    writer = writer.foreachBatch(on_abandoned or append_abandoned(results_root))
     writer = writer.trigger(**(trigger or {"processingTime": "30 seconds"}))
     return writer.start()

@@ -17,3 +17,27 @@ def test_heartbeat_stream_reports_only_silent_runs(spark, tmp_dir):
     rows = spark.sql("SELECT * FROM abandoned_test").collect()
     assert [(r["run_id"], r["status"], r["verdict"]) for r in rows] == [("r1", "ABANDONED", "ERROR")]
     assert "2026-09-01T10:00:01.000Z" in rows[0]["reason"]
+
+
+def test_sweep_events_relabel_stored_records(spark, tmp_dir):
+    from tablediff.plans.history import apply_abandoned_events
+    from tablediff.sources import records as rs
+    from tablediff.streaming.sweep import read_abandoned, start_sweep
+
+    root = f"{tmp_dir}/results"
+    for run_id, status in (("r1", "RUNNING"), ("r2", "COMPLETED")):
+        rs.write_run_record(
+            spark, root,
+            {"run_id": run_id, "pipeline": "p", "status": status, "started_at": "2026-09-01T10:00:00.000Z",
+             "heartbeat_at": "2026-09-01T10:00:01.000Z", "finished_at": None, "verdict": None if status == "RUNNING" else "PASS",
+             "reason": None, "row_range": None, "datasets": [], "unverified_datasets": []},
+        )
+    write_heartbeat(spark, root, "r1", "p", "RUNNING", "2026-09-01T10:00:01.000Z")
+    write_heartbeat(spark, root, "r2", "p", "COMPLETED", "2026-09-01T10:00:02.000Z")
+    write_heartbeat(spark, root, "r3", "p", "RUNNING", "2026-09-01T11:00:00.000Z")
+    q = start_sweep(spark, root, 60, checkpoint_location=f"{tmp_dir}/ckpt2", trigger={"availableNow": True})
+    q.awaitTermination(120)
+    events = read_abandoned(spark, root)
+    assert [r["run_id"] for r in events.collect()] == ["r1"]
+    recs = {r["run_id"]: (r["status"], r["verdict"]) for r in apply_abandoned_events(rs.read_run_records(spark, root), events).collect()}
+    assert recs == {"r1": ("ABANDONED", "ERROR"), "r2": ("COMPLETED", "PASS")}
