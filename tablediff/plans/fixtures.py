@@ -23,6 +23,9 @@ DUPLICATE_MOD = 103
 ADDED_KEY_OFFSET = 10_000_000
 DRIFT = 0.004
 CHANGE_SUFFIX = "*"
+TEXT_END_MOD = 7
+DROP_MOD_SMALL = 13
+ADDED_TURN = 100
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -61,6 +64,28 @@ def mutate_lineitem(lineitem: DataFrame) -> DataFrame:
     return kept.unionByName(duplicated)
 
 
+def mutate_documents(documents: DataFrame) -> DataFrame:
+    """The candidate copy of ``documents``: some texts get one character appended at their very end (only a whole-text
+    comparison sees it), some documents are dropped."""
+    k = F.col("doc_id")
+    text = F.when(k % TEXT_END_MOD == 0, F.concat(F.col("text"), F.lit(CHANGE_SUFFIX))).otherwise(F.col("text"))
+    return documents.where(k % DROP_MOD_SMALL != 0).withColumn("text", text)
+
+
+def mutate_conversations(conversations: DataFrame) -> DataFrame:
+    """The candidate copy of ``conversations`` (key ``conv_id, turn``): some first turns dropped, some second turns'
+    text and role changed, and one extra turn added to some conversations."""
+    c, t = F.col("conv_id"), F.col("turn")
+    changed = (c % 3 == 0) & (t == 1)
+    kept = conversations.where(~((c % 5 == 0) & (t == 0))).select(
+        c, t,
+        F.when(changed & (c % 2 == 0), F.lit("system")).otherwise(F.col("role")).alias("role"),
+        F.when(changed, F.concat(F.col("text"), F.lit(CHANGE_SUFFIX))).otherwise(F.col("text")).alias("text"),
+    )
+    extra = conversations.where((c % 7 == 0) & (t == 0)).withColumn("turn", F.lit(ADDED_TURN).cast("bigint"))
+    return kept.unionByName(extra)
+
+
 def orders_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = table(spark, sf_dir, "orders")
     return mutate_orders(base), base
@@ -71,6 +96,16 @@ def lineitem_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return mutate_lineitem(base), base
 
 
+def documents_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base = table(spark, sf_dir, "documents")
+    return mutate_documents(base), base
+
+
+def conversations_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base = table(spark, sf_dir, "conversations")
+    return mutate_conversations(base), base
+
+
 # The orders pair is keyed on o_orderkey, with a tolerance on the price; the lineitem pair has no key and leaves its
 # IEEE columns out (their text form differs between engines, and the oracle must compute the same fingerprints).
 ORDERS_KEYS = ("o_orderkey",)

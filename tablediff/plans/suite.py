@@ -294,6 +294,29 @@ def row_diff_join(spark, sf_dir):
     return rd.rename_keys(rd.keyed_diff_join(ckf, bkf, 1), cs.key_columns)
 
 
+def document_diff(spark, sf_dir):
+    """Keyed diff of whole long texts: a character appended at the end of a 20,000-word text is a difference."""
+    cand, base = fx.documents_pair(spark, sf_dir)
+    cs = column_sets(base.schema, ("doc_id",))
+    pk = rd.per_key(cand, base, cs.key_columns, cs.fingerprint_columns)
+    return rd.rename_keys(rd.diff_from_per_key(pk, 1), cs.key_columns)
+
+
+def conversation_diff(spark, sf_dir):
+    """Keyed diff on a composite key."""
+    cand, base = fx.conversations_pair(spark, sf_dir)
+    cs = column_sets(base.schema, ("conv_id", "turn"))
+    pk = rd.per_key(cand, base, cs.key_columns, cs.fingerprint_columns)
+    return rd.rename_keys(rd.diff_from_per_key(pk, 2), cs.key_columns)
+
+
+def conversation_differing_columns(spark, sf_dir):
+    cand, base = fx.conversations_pair(spark, sf_dir)
+    cs = column_sets(base.schema, ("conv_id", "turn"))
+    out = rd.differing_columns_by_key(cand, base, cs.key_columns, cs.compared, cs.fingerprint_columns)
+    return rd.rename_keys(out, cs.key_columns)
+
+
 def row_diff_counts(spark, sf_dir):
     _, _, _, diff = _orders_diff(spark, sf_dir)
     return diff.groupBy("mismatch_type").agg(F.count(F.lit(1)).alias("n"))
@@ -532,6 +555,9 @@ QUERIES = {
     "row_diff": row_diff,
     "row_diff_join": row_diff_join,
     "row_diff_counts": row_diff_counts,
+    "document_diff": document_diff,
+    "conversation_diff": conversation_diff,
+    "conversation_differing_columns": conversation_differing_columns,
     "row_diff_summary": row_diff_summary,
     "row_diff_sample_keys": row_diff_sample_keys,
     "sampled_rows": sampled_rows,
