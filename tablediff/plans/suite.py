@@ -215,6 +215,15 @@ def ignored_columns_check(spark, sf_dir):
     return _checks(cand, base, cs).select("check_name", "column_name", "agrees")
 
 
+def embeddings_check(spark, sf_dir):
+    """Aggregate check of a table whose vector column cannot be compared: the spec must ignore it (the config check
+    rejects it otherwise), and the other columns are checked as usual."""
+    base = fx.table(spark, sf_dir, "embeddings")
+    cand = base.withColumn("label", F.when(col("vec_id") % 11 == 0, col("label") + 1).otherwise(col("label")))
+    cs = column_sets(base.schema, ("vec_id",), ("embedding",), {})
+    return _checks(cand, base, cs)
+
+
 def _gate_of(name: str, checks: DataFrame) -> DataFrame:
     return agg.gate(checks).select(F.lit(name).alias("pair_name"), "gate")
 
@@ -546,6 +555,7 @@ QUERIES = {
     "checks_informational": checks_informational,
     "checks_duplicates": checks_duplicates,
     "ignored_columns_check": ignored_columns_check,
+    "embeddings_check": embeddings_check,
     "aggregate_gate": aggregate_gate,
     "duplicate_keys": duplicate_keys,
     "duplicate_key_counts": duplicate_key_counts,
