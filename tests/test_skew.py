@@ -80,3 +80,17 @@ def test_shuffle_partitions_follow_input_size(spark):
     finally:
         parallel.TARGET_SHUFFLE_PARTITION_BYTES = old
     assert spark.conf.get(parallel.INITIAL_PARTITIONS_KEY, None) == before
+
+
+def test_join_form_drops_hot_key_by_broadcast(spark):
+    cand, base = sides(spark)
+    cs = column_sets(base.schema, ("id",))
+    ckf = rd.key_fingerprint(cand, cs.key_columns, cs.fingerprint_columns)
+    bkf = rd.key_fingerprint(base, cs.key_columns, cs.fingerprint_columns)
+    joined = rd.keyed_diff_join(ckf, bkf, 1)
+    plan = plan_of(joined)
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    pk = rd.per_key(cand, base, cs.key_columns, cs.fingerprint_columns)
+    assert sorted(tuple(r) for r in joined.collect()) == sorted(tuple(r) for r in rd.diff_from_per_key(pk, 1).collect())
+    fallback = rd.keyed_diff_join(ckf, bkf, 1, broadcast_limit=0)
+    assert sorted(tuple(r) for r in fallback.collect()) == sorted(tuple(r) for r in joined.collect())
