@@ -281,7 +281,8 @@ def duplicate_key_union(spark, sf_dir):
 def unique_key_rows(spark, sf_dir):
     ckf, bkf, cs = _orders_kf(spark, sf_dir)
     dup = rd.duplicate_key_union(ckf, bkf, 1)
-    return rd.rename_keys(rd.unique_key_rows(ckf, dup, 1), cs.key_columns)
+    small = rd.bounded_keys(dup)
+    return rd.rename_keys(rd.unique_key_rows(ckf, small if small is not None else dup, 1, small is not None), cs.key_columns)
 
 
 # --- keyed row diff ------------------------------------------------------------------------------------------------

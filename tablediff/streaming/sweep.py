@@ -78,11 +78,19 @@ def write_heartbeat(spark: SparkSession, results_root: str, run_id: str, pipelin
     return target.toString()
 
 
-def read_heartbeats(spark: SparkSession, results_root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The heartbeat events as a stream, with the event time parsed."""
+def read_heartbeats(
+    spark: SparkSession, results_root: str, max_files_per_trigger: int | None = None, archive_dir: str | None = None
+) -> DataFrame:
+    """The heartbeat events as a stream, with the event time parsed.
+
+    With ``archive_dir`` processed event files are moved there by the stream source (``cleanSource=archive``), so the
+    watched folder, which is listed on every trigger, stays small.
+    """
     reader = spark.readStream.schema(HEARTBEAT_SCHEMA).option("pathGlobFilter", "*.json")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if archive_dir:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     events = reader.json(heartbeat_folder(results_root))
     return events.where(F.col("run_id").isNotNull() & F.col("heartbeat_at").isNotNull()).withColumn(
         "heartbeat_ts", F.try_to_timestamp(F.col("heartbeat_at"))
@@ -160,6 +168,7 @@ def start_sweep(
     checkpoint_location: str | None = None,
     on_abandoned=None,
     trigger: dict | None = None,
+    archive_dir: str | None = None,
 ):
     """Start the sweep. ``on_abandoned(batch_df, batch_id)`` receives each micro-batch of abandoned runs; by default
     they are appended under the results root. ``checkpoint_location`` holds the per-run state so the sweep resumes
@@ -167,7 +176,7 @@ def start_sweep(
     from ..session import checkpoint_dir
 
     checkpoint_location = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/tablediff-sweep"
-    stream = abandoned_runs_stream(read_heartbeats(spark, results_root), stale_after_seconds)
+    stream = abandoned_runs_stream(read_heartbeats(spark, results_root, archive_dir=archive_dir), stale_after_seconds)
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location)
     writer = writer.foreachBatch(on_abandoned or append_abandoned(results_root))
     writer = writer.trigger(**(trigger or {"processingTime": "30 seconds"}))
