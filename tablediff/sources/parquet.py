@@ -13,15 +13,18 @@ _PARTITION_LEVEL = re.compile(r"/[^/=]+=[^/]*(/|$)")
 
 
 def _has_partition_folders(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path) or not fs.getFileStatus(hadoop_path).isDirectory():
+    """Whether the folder's first level is named ``key=value`` (looked up through the Hadoop file system; without
+    access to it, as in a remote session, plain recursive reading is assumed)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(hadoop_path) or not fs.getFileStatus(hadoop_path).isDirectory():
+            return False
+        statuses = fs.listStatus(hadoop_path)
+    except Exception:  # noqa: BLE001
         return False
-    for status in fs.listStatus(hadoop_path):
-        if status.isDirectory() and _PARTITION_LEVEL.search("/" + status.getPath().getName()):
-            return True
-    return False
+    return any(s.isDirectory() and _PARTITION_LEVEL.search("/" + s.getPath().getName()) for s in statuses)
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
