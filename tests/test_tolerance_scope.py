@@ -109,3 +109,11 @@ def test_range_column_may_be_ignored(spark):
         spark, c, b, range_column="load_date", rng=RowRange("2026-01-01", "2026-02-01"), full_refresh=False, ignored_columns=("load_date",)
     )
     assert r.verdict == "PASS"
+
+
+def test_range_on_zoned_timestamp_uses_utc_instants(spark):
+    utc = dt.timezone.utc
+    rows = [(1, dt.datetime(2026, 1, 1, 9, 59, 59, tzinfo=utc)), (2, dt.datetime(2026, 1, 1, 10, 0, 0, tzinfo=utc)), (3, dt.datetime(2026, 1, 2, tzinfo=utc))]
+    t = spark.createDataFrame(rows, "id bigint, z timestamp")
+    got = sorted(r["id"] for r in apply_row_range(t, "z", RowRange("2026-01-01T10:00:00", "2026-01-02")).collect())
+    assert got == [2]
