@@ -37,10 +37,18 @@ def history(
     lo: str | dt.datetime | None = None,
     hi: str | dt.datetime | None = None,
     limit: int = DEFAULT_LIMIT,
+    as_of: str | dt.datetime | None = None,
+    stale_after_seconds: float | None = None,
 ) -> DataFrame:
-    """The pipeline's runs, most recent first: ``lo`` inclusive, ``hi`` exclusive on the start time."""
+    """The pipeline's runs, most recent first: ``lo`` inclusive, ``hi`` exclusive on the start time.
+
+    With ``as_of`` and ``stale_after_seconds``, runs whose heartbeat stopped are reported as abandoned
+    (:func:`with_abandoned`).
+    """
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
+    if as_of is not None and stale_after_seconds is not None:
+        records = with_abandoned(records, as_of, stale_after_seconds)
     out = records.where(F.col("pipeline") == pipeline)
     started = instant("started_at")
     if lo is not None:

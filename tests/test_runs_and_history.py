@@ -164,6 +164,8 @@ def test_history_order_range_isolation_and_damage(spark, tmp_dir):
     ids = [r["run_id"] for r in hist.history(recs, "orders", lo="2026-09-03T10:00:00Z", hi="2026-09-05T10:00:00Z").collect()]
     assert ids == ["r2"]
     assert [r["run_id"] for r in hist.history(recs, "orders", limit=1).collect()] == ["r3"]
+    relabelled = hist.history(recs, "orders", as_of="2026-09-05T10:10:00Z", stale_after_seconds=6).collect()
+    assert [(r["run_id"], r["status"], r["verdict"]) for r in relabelled][0] == ("r3", "ABANDONED", "ERROR")
     assert rs.read_run_records(spark, root, "nothing-here").count() == 0
 
 
