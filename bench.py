@@ -78,6 +78,9 @@ def main():
     def q_history():
         return suite.history(spark, sf_dir).collect()
 
+    def q_document_diff():
+        return suite.document_diff(spark, sf_dir).groupBy("mismatch_type").count().collect()
+
     headline = {
         "aggregate_check": q_aggregate_check,
         "aggregate_tier1a_lineitem": q_aggregate_tier1a_lineitem,
@@ -87,6 +90,7 @@ def main():
         "lineitem_keyed_duplicates": q_lineitem_keyed_duplicates,
         "compare_orders": q_compare_orders,
         "history": q_history,
+        "document_diff_whole_texts": q_document_diff,
     }
     # Warm-up: JVM, file listing and code generation caches.
     q_aggregate_tier1a_lineitem()
