@@ -60,7 +60,9 @@ def test_multi_dataset_run_isolates_errors(spark, tmp_dir):
     assert len(stored) == 1 and stored[0]["verdict"] == "FAIL"
     assert {d["name"]: d["verdict"] for d in stored[0]["datasets"]} == verdicts
     one = rs.read_run_record(spark, root, "orders-consolidation", "r1")
-    assert one["run_id"] == "r1" and one["unverified_datasets"] == ["new"]
+    assert one["run_id"] == "r1" and one["unverified_datasets"] == ["new"] and one["status"] == "COMPLETED"
+    assert [c["name"] for c in record["config"]] == ["good", "diff", "onlyc", "new"]
+    assert record["config"][0]["key_columns"] == ["id"]
     assert rs.read_run_record(spark, root, "orders-consolidation", "nope") is None
 
 
