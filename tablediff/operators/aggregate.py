@@ -12,10 +12,9 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
-from ..functions.canonical import checksum_limbs, col, fingerprint, from_limbs, limbs
+from ..functions.canonical import canonical, checksum_limbs, col, fingerprint, from_limbs, limbs
 from ..functions.types import ColumnInfo, is_floating, is_integral
 from .columns import ColumnSets
 from .parallel import spread
@@ -127,8 +126,6 @@ def aggregate_values(candidate: DataFrame, baseline: DataFrame, cs: ColumnSets)
 def key_exprs(keys: tuple[ColumnInfo, ...] | list[ColumnInfo]) -> list[Column]:
     """Key parts as grouped and joined on: typed, except IEEE floats, which group by their text (so -0.0 and 0.0
     stay apart, as their fingerprints do)."""
-    from ..functions.canonical import canonical
-
     out = []
     for i, k in enumerate(keys):
         e = canonical(k) if is_floating(k.data_type) else col(k.name)
