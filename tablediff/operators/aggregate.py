@@ -1,8 +1,9 @@
 """The aggregate check: one pass per side, compared value by value.
 
-Both sides are scanned in one job: each is projected to the compared columns, tagged, unioned and aggregated by the
-side tag, so the only exchange carries one partial row per task and side. Duplicate keys need a shuffle of every key,
-so they are a separate step (:func:`duplicate_key_rows`) that a comparison runs only when it can change the outcome.
+Both sides are scanned in one job: each is projected to the compared columns and aggregated globally, and the two
+results are unioned, so the only exchange carries one partial row per task and side. Duplicate keys need a shuffle of
+every key, so they are a separate step (:func:`duplicate_key_rows`) that a comparison runs only when it can change the
+outcome.
 """
 
 from __future__ import annotations
@@ -101,14 +102,6 @@ def final_exprs(cs: ColumnSets) -> list[Column]:
     return out
 
 
-def tag_sides(candidate: DataFrame, baseline: DataFrame, columns: list[str]) -> DataFrame:
-    """Both sides projected to ``columns`` (pruned at the scan) and stacked with a side tag."""
-    proj = [col(n) for n in columns]
-    return spread(candidate).select(*proj, F.lit(CANDIDATE).alias(SIDE)).unionByName(
-        spread(baseline).select(*proj, F.lit(BASELINE).alias(SIDE))
-    )
-
-
 def aggregate_values(candidate: DataFrame, baseline: DataFrame, cs: ColumnSets) -> DataFrame:
     """One row per side: row_count, sum__c, nonnull__c, min__c/max__c (tolerance columns), checksum.
 
