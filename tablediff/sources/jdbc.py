@@ -73,14 +73,50 @@ def table_reader_options(
     return opts
 
 
+def bounds_query(schema: str, table: str, column: str) -> str:
+    """One aggregate query the database answers itself: the range of the column a read is split on."""
+    c = quote_identifier(column)
+    return f"SELECT MIN({c}), MAX({c}) FROM {quote_identifier(schema)}.{quote_identifier(table)}"
+
+
+def bounds_options(conn: JdbcConnection, schema: str, table: str, column: str) -> dict[str, str]:
+    opts = conn.options()
+    opts["query"] = bounds_query(schema, table, column)
+    return opts
+
+
+def split_options(conn: JdbcConnection, schema: str, table: str, column: str, lo, hi) -> dict[str, str]:
+    """Options reading the table as ``conn.max_partitions`` ranges of ``column`` between the bounds (inclusive)."""
+    if isinstance(lo, (int, float)) and not isinstance(lo, bool):
+        return table_reader_options(conn, schema, table, column, int(lo), int(hi) + 1)
+    opts = table_reader_options(conn, schema, table)
+    opts.update(
+        partitionColumn=quote_identifier(column), lowerBound=str(lo), upperBound=str(hi), numPartitions=str(conn.max_partitions)
+    )
+    return opts
+
+
+def read_table_split(spark: SparkSession, conn: JdbcConnection, schema: str, table: str, column: str) -> DataFrame:
+    """The table read in parallel ranges of ``column`` (numeric, date or timestamp); a plain read when it is empty."""
+    lo, hi = spark.read.format("jdbc").options(**bounds_options(conn, schema, table, column)).load().collect()[0]
+    if lo is None:
+        return read_table(spark, conn, schema, table)
+    return spark.read.format("jdbc").options(**split_options(conn, schema, table, column, lo, hi)).load()
+
+
 def read_table(spark: SparkSession, conn: JdbcConnection, schema: str, table: str, **partitioning) -> DataFrame:
     return spark.read.format("jdbc").options(**table_reader_options(conn, schema, table, **partitioning)).load()
 
 
-def read_table_or_none(spark: SparkSession, conn: JdbcConnection, schema: str, table: str, **partitioning) -> DataFrame | None:
-    """The table, or None when the database reports that it does not exist."""
+def read_table_or_none(
+    spark: SparkSession, conn: JdbcConnection, schema: str, table: str, split_column: str | None = None
+) -> DataFrame | None:
+    """The table (split on ``split_column`` when given), or None when the database reports that it does not exist."""
     try:
-        df = read_table(spark, conn, schema, table, **partitioning)
+        if split_column is not None:
+            df = read_table_split(spark, conn, schema, table, split_column)
+        else:
+            df = read_table(spark, conn, schema, table)
         df.schema
         return df
     except AnalysisException:

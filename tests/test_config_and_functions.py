@@ -169,3 +169,18 @@ def test_limb_checksum_equals_sum_of_sixty_bit_prefixes(spark):
         *[F.sum(x).alias(f"l{i}") for i, x in enumerate(checksum_limbs(fp))],
     ).select("text_form", from_limbs([F.col("l0"), F.col("l1"), F.col("l2")]).alias("limb_form")).collect()[0]
     assert row["text_form"] == row["limb_form"]
+
+
+def test_jdbc_split_read_options():
+    import datetime as dt
+
+    from tablediff.sources.jdbc import bounds_options, bounds_query, split_options
+
+    conn = JdbcConnection(url="jdbc:x://db", max_partitions=4)
+    assert bounds_query("DWH", "ORDERS", "ID") == 'SELECT MIN("ID"), MAX("ID") FROM "DWH"."ORDERS"'
+    b = bounds_options(conn, "DWH", "ORDERS", "ID")
+    assert "query" in b and "dbtable" not in b
+    opts = split_options(conn, "DWH", "ORDERS", "ID", 10, 99)
+    assert (opts["partitionColumn"], opts["lowerBound"], opts["upperBound"], opts["numPartitions"]) == ('"ID"', "10", "100", "4")
+    opts = split_options(conn, "DWH", "ORDERS", "DAY", dt.date(2026, 1, 1), dt.date(2026, 2, 1))
+    assert (opts["lowerBound"], opts["upperBound"]) == ("2026-01-01", "2026-02-01")
