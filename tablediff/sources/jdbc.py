@@ -6,7 +6,9 @@ primary URL with no fallback, so a broken replica is an ERROR rather than a sile
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -87,8 +89,9 @@ def bounds_options(conn: JdbcConnection, schema: str, table: str, column: str) -
 
 def split_options(conn: JdbcConnection, schema: str, table: str, column: str, lo, hi) -> dict[str, str]:
     """Options reading the table as ``conn.max_partitions`` ranges of ``column`` between the bounds (inclusive)."""
-    if isinstance(lo, (int, float)) and not isinstance(lo, bool):
-        return table_reader_options(conn, schema, table, column, int(lo), int(hi) + 1)
+    if isinstance(lo, (int, float, Decimal)) and not isinstance(lo, bool):
+        # Numeric bounds are whole numbers for Spark; the upper one is exclusive there.
+        return table_reader_options(conn, schema, table, column, math.floor(lo), math.floor(hi) + 1)
     opts = table_reader_options(conn, schema, table)
     opts.update(
         partitionColumn=quote_identifier(column), lowerBound=str(lo), upperBound=str(hi), numPartitions=str(conn.max_partitions)

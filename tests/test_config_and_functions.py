@@ -182,5 +182,7 @@ def test_jdbc_split_read_options():
     assert "query" in b and "dbtable" not in b
     opts = split_options(conn, "DWH", "ORDERS", "ID", 10, 99)
     assert (opts["partitionColumn"], opts["lowerBound"], opts["upperBound"], opts["numPartitions"]) == ('"ID"', "10", "100", "4")
+    opts = split_options(conn, "DWH", "ORDERS", "ID", Decimal("-2.5"), Decimal("7.25"))
+    assert (opts["lowerBound"], opts["upperBound"]) == ("-3", "8")
     opts = split_options(conn, "DWH", "ORDERS", "DAY", dt.date(2026, 1, 1), dt.date(2026, 2, 1))
     assert (opts["lowerBound"], opts["upperBound"]) == ("2026-01-01", "2026-02-01")
