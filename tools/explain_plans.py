@@ -63,6 +63,14 @@ def main():
             "Sampled rows: bounded broadcast of sample keys, keys pushed into the scans",
             rd.sampled_rows(cand, base, samples, cs.key_columns, cs.compared, cs.tolerances, rd.key_literal_filter(cs.key_columns, [(5,), (7,)])),
         ),
+        (
+            "Join form: anti joins against a size-checked broadcast of duplicated keys, then a null-safe full outer join",
+            rd.keyed_diff_join(
+                rd.key_fingerprint(cand, cs.key_columns, cs.fingerprint_columns),
+                rd.key_fingerprint(base, cs.key_columns, cs.fingerprint_columns),
+                1,
+            ),
+        ),
         ("Keyless diff report", rd.keyless_report(rd.keyless_counts(cand, base, cs.fingerprint_columns), 100)),
         (
             "Differing columns of every changed key",
