@@ -16,6 +16,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document, learned from the labelled ones that are not held out."""
+    from tablediff.llm.language_id import held_out, learn, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    trees = learn(docs.where(~held_out()).select("lang", "text"))
+    texts = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return predict(texts, trees).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole document under piece_bpe_32k.model."""
     from tablediff.llm.token_counts import count_tokens
@@ -61,6 +71,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_language_id,
         op3_token_counts,
         op9_best_fit_packing,
         op10_exact_topk_search,
