@@ -34,6 +34,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded with the pieces of piece_bpe_32k.model and decoded again."""
+    from tablediff.llm.viterbi import round_trip
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_ids", "ids_crc32", "same_text")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens of word_bpe_49k.json."""
     from tablediff.llm.packing import best_fit_packing
@@ -73,6 +81,7 @@ QUERIES = {
     for f in (
         op2_language_id,
         op3_token_counts,
+        op4_sentencepiece,
         op9_best_fit_packing,
         op10_exact_topk_search,
     )
