@@ -42,6 +42,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_ids", "ids_crc32", "same_text")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of every whole document."""
+    from tablediff.llm.common import shared_dir, written
+    from tablediff.llm.quality import MEASURES, judge, measure
+
+    measured = measure(_table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", *MEASURES)
+    judged = judge(written(measured, shared_dir(spark) + "/measured"))
+    return judged.select("doc_id", *MEASURES, "kept", "distance")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens of word_bpe_49k.json."""
     from tablediff.llm.packing import best_fit_packing
@@ -82,6 +92,7 @@ QUERIES = {
         op2_language_id,
         op3_token_counts,
         op4_sentencepiece,
+        op5_quality_rules,
         op9_best_fit_packing,
         op10_exact_topk_search,
     )
