@@ -15,12 +15,10 @@ determinant estimate is too large:
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablediff.llm.common import shared_dir, whole_text, written
+from tablediff.llm.common import once, shared_dir, whole_text, written
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
@@ -43,11 +41,6 @@ LIMIT = 38.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out once, also where ``use`` needs it for each element of an array."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _repeat_words(words: Column) -> Column:
     """How many words stand in windows of WINDOW words that the text holds twice or more."""
 

@@ -52,6 +52,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *MEASURES, "kept", "distance")
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every whole document."""
+    from tablediff.llm.licenses import COLUMNS, license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *COLUMNS)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens of word_bpe_49k.json."""
     from tablediff.llm.packing import best_fit_packing
@@ -93,6 +100,7 @@ QUERIES = {
         op3_token_counts,
         op4_sentencepiece,
         op5_quality_rules,
+        op8_license_scans,
         op9_best_fit_packing,
         op10_exact_topk_search,
     )
