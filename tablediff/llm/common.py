@@ -52,3 +52,53 @@ def shuffle_buckets(spark: SparkSession) -> int:
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` worked out once, also where ``use`` needs it for each element of an array."""
     return F.transform(F.array(value), use)[0]
+
+
+SPAN = "array<struct<start:int,end:int>>"
+_BLOCK = 512
+
+
+def spans_of(text: Column, pattern: str | Column) -> Column:
+    """(start, end) of each match of ``pattern``, leftmost and non-overlapping, in code points, the end exclusive.
+
+    The lengths of the matches and of the pieces between them are summed in blocks, so that no step carries the list of
+    all matches along. Matches must not be empty.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    none = F.array().cast(SPAN)
+
+    def in_block(sizes: Column, base: Column) -> Column:
+        start = F.struct(base.cast("int").alias("at"), none.alias("all"))
+
+        def step(state: Column, x: Column) -> Column:
+            first = state["at"] + x["gap"]
+            end = first + x["match"]
+            one = F.array(F.struct(first.alias("start"), end.alias("end")))
+            return F.struct(end.alias("at"), F.concat(state["all"], one).alias("all"))
+
+        return F.aggregate(sizes, start, step, lambda s: s["all"])
+
+    def from_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["match"]))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all"))
+        bases = F.aggregate(sums, start, step, lambda a: a["all"])
+        return once(bases, lambda at: F.flatten(F.transform(blocks, lambda b, i: in_block(b, F.get(at, i)))))
+
+    def placed(matches: Column, gaps: Column) -> Column:
+        sizes = F.transform(
+            matches, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("match"))
+        )
+        some = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _BLOCK).cast("int"))
+        blocks = once(sizes, lambda s: F.transform(some, lambda b: F.slice(s, b * _BLOCK + 1, _BLOCK)))
+        return once(blocks, from_blocks)
+
+    return once(
+        F.regexp_extract_all(text, pattern, F.lit(0)),
+        lambda m: F.when(F.size(m) > 0, once(F.split(text, pattern, -1), lambda g: placed(m, g))).otherwise(none),
+    )
+
+
+def text_key(text: Column) -> list[Column]:
+    """128 bits of a text, as two columns k1 and k2: rows with equal texts have equal keys."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]

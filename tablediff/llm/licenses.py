@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablediff.llm.common import once, whole_text
+from tablediff.llm.common import once, spans_of, whole_text
 from tablediff.llm.license_rules import FORMS, rules
 
 # The phrases that are always looked for, and their labels.
@@ -37,33 +37,17 @@ def _places(words: Column, phrase: tuple[str, ...]) -> Column:
 
 
 def _detections(words: Column, rule: Column) -> Column:
-    """(start, end, priority, label, score) of each match of a rule, offsets in the text of words."""
-    pieces, matches = F.split(words, rule["pattern"], -1), F.regexp_extract_all(words, rule["pattern"], F.lit(0))
-
-    def placed(p: Column, m: Column) -> Column:
-        empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("all"))
-
-        def step(state: Column, i: Column) -> Column:
-            start = state["end"] + F.length(F.get(p, i))
-            end = start + F.length(F.get(m, i))
-            span = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
-            return F.struct(end.cast("int").alias("end"), F.concat(state["all"], span).alias("all"))
-
-        some = F.sequence(F.lit(0), F.size(m) - 1)
-        spans = F.aggregate(some, empty, step, lambda s: s["all"])
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                (-s["end"]).alias("minus_end"),
-                rule["priority"].alias("priority"),
-                rule["label"].alias("label"),
-                rule["confidence"].alias("score"),
-            ),
-        )
-
-    none = F.array().cast("array<struct<start:int,minus_end:int,priority:int,label:string,score:double>>")
-    return once(matches, lambda m: F.when(F.size(m) > 0, once(pieces, lambda p: placed(p, m))).otherwise(none))
+    """(start, -end, priority, label, score) of each match of a rule, offsets in the text of words."""
+    return F.transform(
+        spans_of(words, rule["pattern"]),
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            (-s["end"]).alias("minus_end"),
+            rule["priority"].alias("priority"),
+            rule["label"].alias("label"),
+            rule["confidence"].alias("score"),
+        ),
+    )
 
 
 def _unsuppressed(found: Column) -> Column:

@@ -52,6 +52,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *MEASURES, "kept", "distance")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every whole document."""
+    from tablediff.llm.pii import COLUMNS, find_pii, with_digest
+
+    found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return with_digest(found).select("doc_id", *COLUMNS)
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every whole document."""
     from tablediff.llm.licenses import COLUMNS, license_scan
@@ -100,6 +108,7 @@ QUERIES = {
         op3_token_counts,
         op4_sentencepiece,
         op5_quality_rules,
+        op6_pii,
         op8_license_scans,
         op9_best_fit_packing,
         op10_exact_topk_search,
