@@ -16,6 +16,8 @@ size of their written table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,12 +162,14 @@ def find_pii(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, min_
     return joined.withColumn("found", once(base_spans(text), with_terms)).select(*docs.columns, "found")
 
 
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == KINDS.index(kind)
+
+
 def with_digest(found: DataFrame) -> DataFrame:
     """``found`` with COLUMNS: counts of the patterned kinds, their digest, and all spans as kind:start:end."""
     base = F.filter("found", lambda s: s["kind"] < len(KINDS))
-    counts = {
-        f"n_{k}": F.size(F.filter("found", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS)
-    }
+    counts = {f"n_{k}": F.size(F.filter("found", _is(k))).cast("long") for k in KINDS}
     return found.withColumns(
         counts | {"base_sha256": F.sha2(_joined(base), 256), "spans": _joined(F.col("found"))}
     )
