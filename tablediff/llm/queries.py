@@ -60,6 +60,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(found).select("doc_id", *COLUMNS)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents and their numbers of links."""
+    from tablediff.llm.chosen_path import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every whole document."""
     from tablediff.llm.licenses import COLUMNS, license_scan
@@ -109,6 +116,7 @@ QUERIES = {
         op4_sentencepiece,
         op5_quality_rules,
         op6_pii,
+        op7_ngram_jaccard_join,
         op8_license_scans,
         op9_best_fit_packing,
         op10_exact_topk_search,
