@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated passages of 200 bytes or more are cut out of every whole document."""
+    from tablediff.llm.suffix_dedup import suffix_dedup_digest
+
+    return suffix_dedup_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole document, learned from the labelled ones that are not held out."""
     from tablediff.llm.language_id import held_out, learn, predict
@@ -111,6 +118,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_language_id,
         op3_token_counts,
         op4_sentencepiece,
