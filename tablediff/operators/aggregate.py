@@ -8,17 +8,13 @@ outcome.
 
 from __future__ import annotations
 
-import math
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canonical import canonical, checksum_limbs, col, fingerprint, from_limbs, limbs
 from ..functions.types import ColumnInfo, is_floating, is_integral
 from .columns import ColumnSets
-from .parallel import spread
 
 CANDIDATE = "candidate"
 BASELINE = "baseline"
@@ -42,15 +38,46 @@ def _sum_partials(c: ColumnInfo, i: int) -> list[Column]:
     """Aggregate expressions whose results :func:`_sum_final` turns into the column's exact sum.
 
     Integers (and short decimals, by their unscaled value) are summed as 21-bit limbs in longs; long decimals keep
-    Spark's decimal sum; IEEE floats are summed as doubles and only inform.
+    Spark's decimal sum. IEEE floats are summed as whole multiples of a power of two (see :func:`_steps`), so their sum
+    does not depend on the order of the rows; NaN and infinities, if any, are the sum.
     """
     if _limbed(c):
         return [F.sum(part).alias(f"_s{i}_{j}") for j, part in enumerate(limbs(_unscaled(c)))]
     if is_floating(c.data_type):
-        return [F.sum(col(c.name).cast("double")).alias(f"_s{i}_0")]
+        x = col(c.name).cast("double")
+        steps = F.when(_finite(x), (x / col(f"_q{i}")).cast("bigint"))
+        return [F.sum(part).alias(f"_s{i}_{j}") for j, part in enumerate(limbs(steps))] + [
+            F.sum(F.when(~_finite(x), x)).alias(f"_odd{i}"),
+            F.max(f"_q{i}").alias(f"_step{i}"),
+        ]
     return [F.sum(col(c.name)).alias(f"_s{i}_0")]
 
 
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
+def _steps(df: DataFrame, cs: ColumnSets) -> DataFrame:
+    """``df`` with ``_q<i>`` for each IEEE column that is summed: the power of two that its values are counted in.
+
+    It is 2^-61 of the largest magnitude at most, so a value is a long and what rounding leaves out of a sum of n
+    values is below n 2^-61 of that magnitude. The largest magnitude is a scalar subquery: one more pass over these columns.
+    """
+    floats = [(i, c) for i, c in enumerate(cs.sum_columns) if is_floating(c.data_type)]
+    if not floats:
+        return df
+    top = []
+    for i, c in floats:
+        x = col(c.name).cast("double")
+        top.append(F.max(F.when(_finite(x) & (x != 0), F.abs(x))).alias(f"_m{i}"))
+    largest = df.agg(*top)
+    steps = {}
+    for i, _ in floats:
+        magnitude = largest.select(F.coalesce(f"_m{i}", F.lit(1.0))).scalar()
+        steps[f"_q{i}"] = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(magnitude)) - 60, F.lit(-1022)))
+    return df.withColumns(steps)
+
+
 def _sum_final(c: ColumnInfo, i: int) -> Column:
     if _limbed(c):
         total = from_limbs([col(f"_s{i}_{j}") for j in range(3)])
@@ -59,6 +86,9 @@ def _sum_final(c: ColumnInfo, i: int) -> Column:
             # Rescaled through the exact integer text: decimal division would round the scale. Runs once per side.
             total = F.concat(total.cast("string"), F.lit(f"E-{t.scale}")).cast(T.DecimalType(38, t.scale))
         return total
+    if is_floating(c.data_type):
+        total = from_limbs([col(f"_s{i}_{j}") for j in range(3)]).cast("double") * col(f"_step{i}")
+        return F.coalesce(col(f"_odd{i}"), total)
     return col(f"_s{i}_0")
 
 
@@ -111,11 +141,32 @@ def aggregate_values(candidate: DataFrame, baseline: DataFrame, cs: ColumnSets)
     proj = [col(c.name) for c in cs.compared]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return spread(df).select(*proj).agg(*aggregate_exprs(cs)).select(F.lit(name).alias(SIDE), *final_exprs(cs))
+        rows = _steps(df.select(*proj), cs)
+        return rows.agg(*aggregate_exprs(cs)).select(F.lit(name).alias(SIDE), *final_exprs(cs))
 
     return side(candidate, CANDIDATE).unionByName(side(baseline, BASELINE))
 
 
+def aggregate_values_schema(cs: ColumnSets) -> T.StructType:
+    """The schema of :func:`aggregate_values`."""
+    exact = T.DecimalType(38, 0)
+
+    def summed(c: ColumnInfo) -> T.DataType:
+        if is_floating(c.data_type):
+            return T.DoubleType()
+        if isinstance(c.data_type, T.DecimalType):
+            return T.DecimalType(38, c.data_type.scale)
+        return exact
+
+    fields = [(SIDE, T.StringType()), ("row_count", T.LongType())]
+    fields += [(sum_name(c), summed(c)) for c in cs.sum_columns]
+    fields += [(nonnull_name(c), T.LongType()) for c in cs.null_columns]
+    fields += [(n(c), c.data_type) for c in cs.tolerance_columns for n in (min_name, max_name)]
+    if cs.fingerprint_columns:
+        fields.append(("checksum", exact))
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
 def key_exprs(keys: tuple[ColumnInfo, ...] | list[ColumnInfo]) -> list[Column]:
     """Key parts as grouped and joined on: typed, except IEEE floats, which group by their text (so -0.0 and 0.0
     stay apart, as their fingerprints do)."""
@@ -132,7 +183,7 @@ def duplicate_key_rows(candidate: DataFrame, baseline: DataFrame, keys: tuple[Co
     kcols = [f"k{i}" for i in range(len(keys))]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        per_key = spread(df).select(*key_exprs(keys)).groupBy(*kcols).agg(F.count(F.lit(1)).alias("n"))
+        per_key = df.select(*key_exprs(keys)).groupBy(*kcols).agg(F.count(F.lit(1)).alias("n"))
         return per_key.agg(
             F.coalesce(F.sum("n") - F.count(F.lit(1)), F.lit(0).cast("bigint")).alias("duplicate_key_rows")
         ).select(F.lit(name).alias(SIDE), "duplicate_key_rows")
@@ -168,8 +219,9 @@ def _check(name: str, column: str | None, c: Column, b: Column, agrees: Column,
 
 
 def _within(c: Column, b: Column, allowed: Column) -> Column:
-    """One-sided NULL disagrees, NULL and NULL agree, otherwise the absolute difference must be within ``allowed``."""
-    return F.when(c.isNull() | b.isNull(), c.isNull() & b.isNull()).otherwise(F.abs(c - b) <= allowed)
+    """One-sided NULL disagrees; equal values (NULL, NaN and infinities too) agree; else the difference must be within
+    ``allowed``."""
+    return F.when(c.isNull() | b.isNull(), c.isNull() & b.isNull()).otherwise((c == b) | (F.abs(c - b) <= allowed))
 
 
 def aggregate_checks(values: DataFrame, cs: ColumnSets, with_duplicates: bool | None = None) -> DataFrame:
@@ -223,98 +275,21 @@ def aggregate_checks(values: DataFrame, cs: ColumnSets, with_duplicates: bool |
     return w.select(F.inline(F.array(*checks)))
 
 
-def _java_double_text(d: float) -> str:
-    """A double as Spark casts it to text: plain between 1e-3 and 1e7, otherwise ``d.dddE<exp>``."""
-    if d != d:
-        return "NaN"
-    if d in (float("inf"), float("-inf")):
-        return "Infinity" if d > 0 else "-Infinity"
-    if d == 0:
-        return "-0.0" if math.copysign(1.0, d) < 0 else "0.0"
-    if 1e-3 <= abs(d) < 1e7:
-        r = repr(d)
-        return r if "." in r else r + ".0"
-    sign, digits, exp = Decimal(repr(d)).normalize().as_tuple()
-    text = "".join(map(str, digits))
-    return ("-" if sign else "") + text[0] + "." + (text[1:] or "0") + "E" + str(len(digits) - 1 + exp)
-
-
-def _value_text(v) -> str | None:
-    if v is None:
-        return None
-    if isinstance(v, float):
-        return _java_double_text(v)
-    if isinstance(v, Decimal):
-        return format(v, "f")
-    return str(v)
-
-
-def checks_from_rows(values: dict[str, dict], cs: ColumnSets, with_duplicates: bool) -> list[dict]:
-    """The checks of :func:`aggregate_checks`, evaluated on the driver from the two collected aggregate rows.
-
-    A comparison already holds these two rows, so deciding the gate needs no further Spark job.
-    """
-    c, b = values[CANDIDATE], values[BASELINE]
-    out = []
-
-    def add(name, column, cv, bv, agrees, method="exact", tol=None, decisive=True):
-        out.append(
-            {
-                "check_name": name,
-                "column_name": column,
-                "candidate": _value_text(cv),
-                "baseline": _value_text(bv),
-                "agrees": bool(agrees),
-                "method": method,
-                "tolerance": None if tol is None else format(tol, "f"),
-                "decisive": decisive,
-            }
-        )
-
-    def within(x, y, allowed):
-        if x is None or y is None:
-            return x is None and y is None
-        return abs(x - y) <= allowed
-
-    rows_c, rows_b = c["row_count"], b["row_count"]
-    add("row_count", None, rows_c, rows_b, rows_c == rows_b)
-    most = max(rows_c, rows_b)
-    for ci in cs.sum_columns:
-        n = sum_name(ci)
-        tol = cs.tolerances.get(ci.name)
-        if tol is not None:
-            allowed = float(tol * most) if ci.floating else tol * most
-            add("sum", ci.name, c[n], b[n], within(c[n], b[n], allowed), "tolerance", tol)
-        elif ci.floating:
-            add("sum", ci.name, c[n], b[n], c[n] == b[n], "informational", None, False)
-        else:
-            add("sum", ci.name, c[n], b[n], c[n] == b[n])
-    for ci in cs.tolerance_columns:
-        tol = cs.tolerances[ci.name]
-        allowed = float(tol) if ci.floating else tol
-        for kind, name_of in (("min", min_name), ("max", max_name)):
-            n = name_of(ci)
-            add(kind, ci.name, c[n], b[n], within(c[n], b[n], allowed), "tolerance", tol)
-    for ci in cs.null_columns:
-        n = nonnull_name(ci)
-        add("null_count", ci.name, rows_c - c[n], rows_b - b[n], rows_c - c[n] == rows_b - b[n])
-    if cs.fingerprint_columns:
-        add("checksum", None, c["checksum"], b["checksum"], c["checksum"] == b["checksum"])
-    if cs.key_columns and with_duplicates:
-        cd, bd = c["duplicate_key_rows"], b["duplicate_key_rows"]
-        add("duplicate_key_rows", None, cd, bd, cd == 0 and bd == 0)
-    return out
+def checks_of(spark: SparkSession, rows: list[dict], cs: ColumnSets) -> list[dict]:
+    """:func:`aggregate_checks` of per-side value rows that are already here, as plain rows."""
+    local = aggregate_values_schema(cs)
+    if "duplicate_key_rows" in rows[0]:
+        local = T.StructType([*local.fields, T.StructField("duplicate_key_rows", T.LongType())])
+    values = spark.createDataFrame([tuple(r[n] for n in local.names) for r in rows], local)
+    return [r.asDict() for r in aggregate_checks(values, cs).collect()]
 
 
 def collect_checks(candidate: DataFrame, baseline: DataFrame, cs: ColumnSets, duplicates: bool = True) -> list[dict]:
-    """The aggregate check as a comparison runs it: one job for both sides' aggregates, one for duplicate keys (when
-    there are keys and ``duplicates``), then the checks on the driver from those few collected values."""
-    values = {r[SIDE]: r.asDict() for r in aggregate_values(candidate, baseline, cs).collect()}
-    with_dups = bool(cs.key_columns) and duplicates
-    if with_dups:
-        for r in duplicate_key_rows(candidate, baseline, cs.key_columns).collect():
-            values[r[SIDE]]["duplicate_key_rows"] = r["duplicate_key_rows"]
-    return checks_from_rows(values, cs, with_dups)
+    """The aggregate check as a comparison runs it, duplicate keys included when there are keys and ``duplicates``."""
+    values = aggregate_values(candidate, baseline, cs)
+    if cs.key_columns and duplicates:
+        values = with_duplicates(values, duplicate_key_rows(candidate, baseline, cs.key_columns))
+    return [r.asDict() for r in aggregate_checks(values, cs).collect()]
 
 
 def gate(checks: DataFrame) -> DataFrame:

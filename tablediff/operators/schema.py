@@ -1,18 +1,19 @@
-"""Schema diff of the two sides, by column name; column order and nullability are not compared."""
+"""Schema diff of the two sides by column name; the order of columns and nullability play no part."""
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import types as T
 
 
-def schema_differences(candidate: T.StructType, baseline: T.StructType, ignored: tuple[str, ...] | set[str] = ()) -> list[str]:
-    """Columns on one side only, then columns whose type differs; each group sorted by name."""
-    ignored = set(ignored)
-    c = {f.name: f.dataType for f in candidate.fields if f.name not in ignored}
-    b = {f.name: f.dataType for f in baseline.fields if f.name not in ignored}
-    out = [f"Column {n} exists in the candidate only" for n in sorted(c.keys() - b.keys())]
-    out += [f"Column {n} exists in the baseline only" for n in sorted(b.keys() - c.keys())]
-    for n in sorted(c.keys() & b.keys()):
-        if c[n].simpleString() != b[n].simpleString():
-            out.append(f"Column {n} has type {c[n].simpleString()} in the candidate and {b[n].simpleString()} in the baseline")
-    return out
+def column_types(schema: T.StructType, ignored: Collection[str] = ()) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in schema.fields if f.name not in ignored}
+
+
+def schema_differences(candidate: T.StructType, baseline: T.StructType, ignored: Collection[str] = ()) -> list[str]:
+    """One line per column that the sides do not share with one type: ``name: candidate type -> baseline type``, a
+    missing column's type being ``none``; sorted by name."""
+    types = [column_types(s, ignored) for s in (candidate, baseline)]
+    rows = {n: tuple(t.get(n, "none") for t in types) for n in sorted({*types[0], *types[1]})}
+    return [f"{name}: {c} -> {b}" for name, (c, b) in rows.items() if c != b]

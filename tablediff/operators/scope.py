@@ -29,14 +29,28 @@ def _ceil_date(value: dt.datetime) -> dt.date:
     return d if value.time() == dt.time() else d + dt.timedelta(days=1)
 
 
-def _literal_pair(column: ColumnInfo, lo, hi) -> tuple[Column, Column]:
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _integral_pair(t: T.DataType, lo: int, hi: int) -> tuple[Column | None, Column | None]:
+    """Bounds of an integer column. A bound that all its values meet is left out (None); one that none can meet is
+    replaced by the nearest one of the type that still keeps them out."""
+    most = 2 ** (_BITS[type(t)] - 1) - 1
+    least = -most - 1
+    if lo > most or hi <= least:  # no value is in the range
+        return F.lit(most).cast(t), F.lit(most).cast(t)
+    lower = None if lo <= least else F.lit(lo).cast(t)
+    return lower, None if hi > most else F.lit(hi).cast(t)
+
+
+def _literal_pair(column: ColumnInfo, lo, hi) -> tuple[Column | None, Column | None]:
     """Bounds as literals of the column's type. For integers and dates, ``c >= x`` equals ``c >= ceil(x)`` and
     ``c < x`` equals ``c < ceil(x)``, so rounding both bounds up keeps the half-open range exact."""
     t = column.data_type
     cat = column.category
     if cat is Category.NUMERIC:
         if is_integral(t):
-            return F.lit(_ceil_integral(lo)).cast(t), F.lit(_ceil_integral(hi)).cast(t)
+            return _integral_pair(t, _ceil_integral(lo), _ceil_integral(hi))
         if isinstance(t, T.DecimalType):
             def fits(v: Decimal) -> bool:
                 exp = v.as_tuple().exponent
@@ -61,7 +75,9 @@ def range_predicate(column: ColumnInfo, rng: RowRange) -> Column:
     lo, hi = bind_range(column, rng)
     lo_lit, hi_lit = _literal_pair(column, lo, hi)
     c = col(column.name)
-    return (c >= lo_lit) & (c < hi_lit)
+    kept = c.isNotNull()
+    kept = kept if lo_lit is None else kept & (c >= lo_lit)
+    return kept if hi_lit is None else kept & (c < hi_lit)
 
 
 def apply_row_range(df: DataFrame, column_name: str | None, rng: RowRange | None) -> DataFrame:

@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 500
-# Fixed text of the reason given to a run whose heartbeat stopped.
-ABANDONED_REASON = "Run abandoned: its heartbeat stopped at {}, so the process running it is presumed dead. Start a new run."
+# Why a run without a recent heartbeat is shown as abandoned.
+ABANDONED_REASON = "abandoned; last heartbeat {}"
 
 
 def instant(c: Column | str) -> Column:
-    """An ISO-8601 instant text (``...Z`` or with an offset) as a timestamp; the session time zone is UTC."""
+    """An ISO-8601 instant text (``...Z`` or with an offset) as a timestamp, NULL if it is none; the session time zone is
+    UTC."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.to_timestamp(c)
+    return F.try_to_timestamp(c)
 
 
 def _lit_instant(value: str | dt.datetime) -> Column:
@@ -49,8 +50,9 @@ def history(
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
     if as_of is not None and stale_after_seconds is not None:
         records = with_abandoned(records, as_of, stale_after_seconds)
-    out = records.where(F.col("pipeline") == pipeline)
     started = instant("started_at")
+    # A record whose start can't be read has no place in the order and is left out, like other damaged records.
+    out = records.where((F.col("pipeline") == pipeline) & started.isNotNull())
     if lo is not None:
         out = out.where(started >= _lit_instant(lo))
     if hi is not None:
@@ -66,9 +68,10 @@ def running_runs(records: DataFrame) -> DataFrame:
 
 
 def is_abandoned(as_of: str | dt.datetime, stale_after_seconds: float) -> Column:
-    """RUNNING with a heartbeat strictly older than ``stale_after_seconds`` at ``as_of``."""
+    """RUNNING with a heartbeat strictly older than ``stale_after_seconds`` at ``as_of``, or one that can't be read."""
     age = F.unix_micros(_lit_instant(as_of)) - F.unix_micros(instant("heartbeat_at"))
-    return (F.col("status") == "RUNNING") & (age > F.lit(int(round(stale_after_seconds * 1_000_000))))
+    late = F.coalesce(age > F.lit(int(round(stale_after_seconds * 1_000_000))), F.lit(True))
+    return (F.col("status") == "RUNNING") & late
 
 
 def with_abandoned(records: DataFrame, as_of: str | dt.datetime, stale_after_seconds: float) -> DataFrame:
@@ -87,21 +90,3 @@ def with_abandoned(records: DataFrame, as_of: str | dt.datetime, stale_after_sec
 def dataset_verdict_rows(records: DataFrame) -> DataFrame:
     """One row per run and dataset: ``run_id, name, verdict`` from the nested dataset list."""
     return records.select("run_id", F.inline_outer("datasets")).where(F.col("name").isNotNull())
-
-
-def apply_abandoned_events(records: DataFrame, events: DataFrame) -> DataFrame:
-    """Records with the streaming sweep's abandoned-run events applied: a record still RUNNING whose run has an event
-    shows status ABANDONED, verdict ERROR and the event's reason. The events are few (one per dead run); they are
-    joined by run id."""
-    ev = events.select(
-        F.col("run_id").alias("_ev_run"), F.col("pipeline").alias("_ev_pipeline"), F.col("reason").alias("_ev_reason")
-    ).dropDuplicates(["_ev_run", "_ev_pipeline"])
-    joined = records.join(ev, (F.col("run_id") == F.col("_ev_run")) & (F.col("pipeline") == F.col("_ev_pipeline")), "left")
-    gone = F.col("_ev_run").isNotNull() & (F.col("status") == "RUNNING")
-    return joined.withColumns(
-        {
-            "status": F.when(gone, F.lit("ABANDONED")).otherwise(F.col("status")),
-            "verdict": F.when(gone, F.lit("ERROR")).otherwise(F.col("verdict")),
-            "reason": F.when(gone, F.col("_ev_reason")).otherwise(F.col("reason")),
-        }
-    ).drop("_ev_run", "_ev_pipeline", "_ev_reason")

@@ -131,9 +131,12 @@ def _exact_text(values: DataFrame) -> DataFrame:
 
 
 def _side_values(spark, sf_dir, names_of) -> DataFrame:
+    """Some of the per-side values; the duplicate keys are only counted where they are asked for."""
     cand, base, cs = _orders(spark, sf_dir)
-    values = _values(cand, base, cs)
-    return _exact_text(values.select(agg.SIDE, *names_of(cs)))
+    names = names_of(cs)
+    counted = names == ["duplicate_key_rows"]
+    values = agg.duplicate_key_rows(cand, base, cs.key_columns) if counted else agg.aggregate_values(cand, base, cs)
+    return _exact_text(values.select(agg.SIDE, *names))
 
 
 def agg_row_count(spark, sf_dir):
@@ -146,7 +149,7 @@ def agg_sum(spark, sf_dir):
 
 def agg_null_count(spark, sf_dir):
     cand, base, cs = _orders(spark, sf_dir)
-    values = _values(cand, base, cs)
+    values = agg.aggregate_values(cand, base, cs)
     return values.select(
         agg.SIDE, *[(col("row_count") - col(agg.nonnull_name(c))).alias(f"null_count__{c.name}") for c in cs.null_columns]
     )
@@ -168,7 +171,7 @@ def agg_duplicate_rows(spark, sf_dir):
 
 def agg_float_sum(spark, sf_dir):
     cand, base, cs = _orders(spark, sf_dir)
-    values = _values(cand, base, cs)
+    values = agg.aggregate_values(cand, base, cs)
     return _exact_text(
         values.select(
             agg.SIDE,
@@ -280,9 +283,7 @@ def duplicate_key_union(spark, sf_dir):
 
 def unique_key_rows(spark, sf_dir):
     ckf, bkf, cs = _orders_kf(spark, sf_dir)
-    dup = rd.duplicate_key_union(ckf, bkf, 1)
-    small = rd.bounded_keys(dup)
-    return rd.rename_keys(rd.unique_key_rows(ckf, small if small is not None else dup, 1, small is not None), cs.key_columns)
+    return rd.rename_keys(rd.unique_key_rows(ckf, rd.duplicate_key_union(ckf, bkf, 1), 1), cs.key_columns)
 
 
 # --- keyed row diff ------------------------------------------------------------------------------------------------

@@ -85,24 +85,20 @@ def read_run_record(spark: SparkSession, root: str, pipeline: str, run_id: str)
 def write_run_record(spark: SparkSession, root: str, record: dict) -> str:
     """Replace the run's record with ``record`` (one JSON line). Returns the record's folder.
 
-    The line is written as a single part file into the run's own folder and renamed to ``run.json`` through the
-    Hadoop file system, so this works on any shared store and never touches another run's record.
+    The line is written beside the record and takes its place by one rename that overwrites, through the Hadoop file
+    API of the store: whoever reads sees the old record or the new one, and a crash leaves one of them.
     """
     folder = record_path(root, record["pipeline"], record["run_id"])
-    line = json.dumps(record, sort_keys=False, default=str)
-    tmp = folder + "/_incoming"
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(tmp)
-    # A single part file is renamed to run.json through the Hadoop file system, so this works on any shared store.
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(tmp).getFileSystem(conf)
-    parts = [s.getPath() for s in fs.listStatus(Path(tmp)) if s.getPath().getName().startswith("part-")]
-    target = Path(folder + "/run.json")
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(parts[0], target)
-    fs.delete(Path(tmp), True)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs_api = jvm.org.apache.hadoop.fs
+    incoming, target = fs_api.Path(f"{folder}/_incoming.json"), fs_api.Path(f"{folder}/run.json")
+    store = target.getFileSystem(conf)
+    out = store.create(incoming, True)
+    out.write(bytearray((json.dumps(record, default=str) + "\n").encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(fs_api.Options.Rename, 1)
+    how[0] = fs_api.Options.Rename.OVERWRITE
+    fs_api.FileContext.getFileContext(store.getUri(), conf).rename(store.makeQualified(incoming), store.makeQualified(target), how)
     return folder
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablediff.plans import history as hist
@@ -75,7 +76,7 @@ def test_run_with_invalid_specs_is_refused_before_comparing(spark, tmp_dir):
     with pytest.raises(ValueError, match="neither side"):
         compare_all(spark, "p", [typo], envs=envs)
     bad_key = ComparisonSpec("t", Location(path="t"), Location(path="t"), key_columns=("nope",), full_refresh=True)
-    with pytest.raises(ValueError, match="key column 'nope' does not exist"):
+    with pytest.raises(ValueError, match="key column is not there"):
         compare_all(spark, "p", [bad_key], envs=envs)
 
 
@@ -194,3 +195,29 @@ def test_dataset_rows_from_records(spark, tmp_dir):
     rows = sorted(tuple(r) for r in hist.dataset_verdict_rows(recs).collect())
     assert rows == [("r1", "t", "PASS"), ("r2", "t", "FAIL")]
     assert recs.where(F.col("run_id").startswith("bad")).count() == 0
+
+
+def test_a_malformed_instant_hides_only_its_record(spark, tmp_dir):
+    root = f"{tmp_dir}/damaged"
+    write = rs.write_run_record
+    write(spark, root, _record("r1", "p", "COMPLETED", "2026-09-01T10:00:00Z", "2026-09-01T10:00:00Z", "PASS"))
+    write(spark, root, _record("r2", "p", "COMPLETED", "not a time", "2026-09-01T10:00:00Z", "PASS"))
+    write(spark, root, _record("r3", "p", "RUNNING", "2026-09-01T11:00:00Z", "never"))
+    rows = hist.history(rs.read_run_records(spark, root, "p"), "p", as_of="2026-09-01T11:00:01Z", stale_after_seconds=60).collect()
+    assert [(r["run_id"], r["status"]) for r in rows] == [("r3", "ABANDONED"), ("r1", "COMPLETED")]
+
+
+def test_a_run_that_breaks_off_is_stored_as_error(spark, tmp_dir, monkeypatch):
+    from tablediff.plans import compare as plan
+
+    def broken(*args, **kw):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(plan, "compare", broken)
+    root = f"{tmp_dir}/broken"
+    frame = spark.range(1)
+    spec = ComparisonSpec(name="t", candidate=Location.of(frame), baseline=Location.of(frame), kind="frame", key_columns=("id",), full_refresh=True)
+    with pytest.raises(RuntimeError):
+        plan.compare_all(spark, "p", [spec], results_root=root, run_id="r9")
+    record = rs.read_run_record(spark, root, "p", "r9")
+    assert (record["status"], record["verdict"]) == ("COMPLETED", "ERROR") and "lost" in record["reason"]

@@ -64,33 +64,40 @@ def test_hot_content_keyless(spark):
     assert summary["extra_candidate_rows"] == summary["extra_baseline_rows"] > 0
 
 
-def test_shuffle_partitions_follow_input_size(spark):
-    from tablediff.operators import parallel
-
-    small = spark.range(10)
-    assert parallel.wanted_shuffle_partitions(small) == 1
-    before = spark.conf.get(parallel.INITIAL_PARTITIONS_KEY, None)
-    old = parallel.TARGET_SHUFFLE_PARTITION_BYTES
-    parallel.TARGET_SHUFFLE_PARTITION_BYTES = 8  # pretend the input is huge
-    try:
-        want = parallel.wanted_shuffle_partitions(small)
-        assert want > 8
-        with parallel.shuffle_sized_for(spark, small):
-            assert spark.conf.get(parallel.INITIAL_PARTITIONS_KEY) == str(want)
-    finally:
-        parallel.TARGET_SHUFFLE_PARTITION_BYTES = old
-    assert spark.conf.get(parallel.INITIAL_PARTITIONS_KEY, None) == before
-
-
-def test_join_form_drops_hot_key_by_broadcast(spark):
+def test_join_form_reduces_a_hot_key_before_the_join(spark):
     cand, base = sides(spark)
     cs = column_sets(base.schema, ("id",))
     ckf = rd.key_fingerprint(cand, cs.key_columns, cs.fingerprint_columns)
     bkf = rd.key_fingerprint(base, cs.key_columns, cs.fingerprint_columns)
     joined = rd.keyed_diff_join(ckf, bkf, 1)
-    plan = plan_of(joined)
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert_partial_then_exchange(joined)
     pk = rd.per_key(cand, base, cs.key_columns, cs.fingerprint_columns)
     assert sorted(tuple(r) for r in joined.collect()) == sorted(tuple(r) for r in rd.diff_from_per_key(pk, 1).collect())
-    fallback = rd.keyed_diff_join(ckf, bkf, 1, broadcast_limit=0)
-    assert sorted(tuple(r) for r in fallback.collect()) == sorted(tuple(r) for r in joined.collect())
+
+
+def test_building_a_plan_starts_no_job(spark):
+    cand, base = sides(spark)
+    cs = column_sets(base.schema, ("id",))
+    spark.sparkContext.setJobGroup("building", "plans only")
+    ckf = rd.key_fingerprint(cand, cs.key_columns, cs.fingerprint_columns)
+    bkf = rd.key_fingerprint(base, cs.key_columns, cs.fingerprint_columns)
+    pk = rd.per_key(cand, base, cs.key_columns, cs.fingerprint_columns)
+    rd.unique_key_rows(ckf, rd.duplicate_key_union(ckf, bkf, 1), 1)
+    rd.keyed_diff_join(ckf, bkf, 1)
+    rd.keyed_report(pk, cs.key_columns)
+    rd.differing_columns_by_key(cand, base, cs.key_columns, cs.compared, cs.fingerprint_columns)
+    rd.keyless_counts(cand, base, cs.fingerprint_columns)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("building") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_keyed_report_has_one_exchange_of_the_keys(spark):
+    cand, base = sides(spark)
+    cs = column_sets(base.schema, ("id",))
+    pk = rd.per_key(cand, base, cs.key_columns, cs.fingerprint_columns)
+    report = rd.keyed_report(pk, cs.key_columns, 5)
+    report.collect()
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    keyed = [x for x in final.splitlines() if "Exchange hashpartitioning(k0" in x and "Reused" not in x]
+    assert len(keyed) == 1, final

@@ -117,3 +117,28 @@ def test_range_on_zoned_timestamp_uses_utc_instants(spark):
     t = spark.createDataFrame(rows, "id bigint, z timestamp")
     got = sorted(r["id"] for r in apply_row_range(t, "z", RowRange("2026-01-01T10:00:00", "2026-01-02")).collect())
     assert got == [2]
+
+
+def test_integer_bounds_beyond_the_type(spark):
+    from tablediff.operators.scope import apply_row_range
+    from tablediff.spec import RowRange
+
+    df = spark.createDataFrame([(-(2**31),), (0,), (2**31 - 1,), (None,)], "v int")
+    count = lambda lo, hi: apply_row_range(df, "v", RowRange(lo, hi)).count()
+    assert count("0", "3000000000") == 2
+    assert count("-3000000000", "1") == 2
+    assert count("-3000000000", "3000000000") == 3
+    assert count("3000000000", "4000000000") == 0
+    assert count("-4000000000", "-3000000000") == 0
+    assert count("0", "2147483647") == 1
+
+
+def test_offset_of_a_bound_is_converted_for_a_zoned_column(spark):
+    import datetime as dt
+
+    from tablediff.operators.scope import apply_row_range
+    from tablediff.spec import RowRange
+
+    utc = dt.timezone.utc
+    df = spark.createDataFrame([(dt.datetime(2026, 1, 1, h, tzinfo=utc),) for h in (1, 5, 6)], "t timestamp")
+    assert apply_row_range(df, "t", RowRange("2026-01-01T00:30:00-05:00", "2026-01-02")).count() == 1
