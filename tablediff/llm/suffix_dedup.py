@@ -189,7 +189,8 @@ def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Rows (k1, k2, kept, n_removed, n_spans) of the different texts that hold a repeated window; kept is binary.
 
     A window is repeated if its MATCH bytes also start anywhere else, in the same text, in another one, or in a copy of
-    the text. All bytes of repeated windows are removed, judged on the texts as given.
+    the text. All bytes of repeated windows are removed, judged on the texts as given. A text whose row is repeated (same
+    id, same text) may have its row twice.
     """
     spark = docs.sparkSession
     at = shared_dir(spark)
@@ -301,7 +302,7 @@ def suffix_dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     changed = repeated_texts(docs, id_col, text_col, batches)
     changed = changed.select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("own_sha256"))
-    changed = written(changed, shared_dir(docs.sparkSession) + "/changed")
+    changed = written(changed.distinct(), shared_dir(docs.sparkSession) + "/changed")
     text = whole_text(text_col)
     rows = docs.select(
         F.col(id_col),
@@ -330,7 +331,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [raw.decode(errors="ignore") for raw in as_bytes(part.column(2))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["k1", "k2", "__new"])
 
-    decoded = changed.select("k1", "k2", "kept").mapInArrow(run, "k1 long, k2 long, __new string")
+    one = changed.select("k1", "k2", "kept").dropDuplicates(["k1", "k2"])
+    decoded = one.mapInArrow(run, "k1 long, k2 long, __new string")
     k1, k2 = text_key(whole_text(text_col))
     joined = docs.withColumns({"__k1": k1, "__k2": k2}).join(
         decoded.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left"
