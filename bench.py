@@ -36,7 +36,7 @@ def main():
 
     def lineitem():
         cand, base = fx.lineitem_pair(spark, sf_dir)
-        return cand, base, column_sets(cand.schema, (), fx.LINEITEM_IGNORED, {})
+        return cand, base, column_sets(cand.schema, ())
 
     def q_aggregate_check():
         cand, base, cs = orders()
@@ -62,7 +62,7 @@ def main():
 
     def q_lineitem_keyed_duplicates():
         cand, base = fx.lineitem_pair(spark, sf_dir)
-        cs = column_sets(cand.schema, ("l_orderkey", "l_linenumber"), fx.LINEITEM_IGNORED, {})
+        cs = column_sets(cand.schema, ("l_orderkey", "l_linenumber"))
         return rd.diff_counts(rd.per_key(cand, base, cs.key_columns, cs.fingerprint_columns)).collect()
 
     def q_compare_orders():

@@ -41,7 +41,7 @@ def _orders(spark, sf_dir, tolerances=fx.ORDERS_TOLERANCES, ignored=()):
 
 def _lineitem(spark, sf_dir):
     cand, base = fx.lineitem_pair(spark, sf_dir)
-    return cand, base, column_sets(cand.schema, (), fx.LINEITEM_IGNORED, {})
+    return cand, base, column_sets(cand.schema, ())
 
 
 def _values(cand, base, cs: ColumnSets) -> DataFrame:
@@ -244,7 +244,7 @@ LINEITEM_KEYS = ("l_orderkey", "l_linenumber")
 
 def _lineitem_dups(spark, sf_dir):
     li = fx.table(spark, sf_dir, "lineitem")
-    cs = column_sets(li.schema, LINEITEM_KEYS, fx.LINEITEM_IGNORED, {})
+    cs = column_sets(li.schema, LINEITEM_KEYS)
     kf = rd.key_fingerprint(li, cs.key_columns, cs.fingerprint_columns)
     return rd.duplicate_keys(kf, len(cs.key_columns)), cs
 
@@ -350,11 +350,17 @@ def _sampled_pairs(spark, sf_dir):
 
 
 def sampled_rows(spark, sf_dir):
-    """Both sides' values of the sampled rows, as canonical text (NULL for a side without the row); the price is left
-    out because the text of an IEEE double differs between engines."""
+    """Both sides' values of the sampled rows, as canonical text (NULL for a side without the row); the price is shown as
+    a decimal, whose text is the same in every engine."""
     pairs, cs = _sampled_pairs(spark, sf_dir)
-    shown = [c for c in cs.compared if not c.floating]
-    values = [canonical(c, col(p + c.name)).alias(p + c.name) for p in ("c__", "b__") for c in shown]
+    amount = T.DecimalType(18, 4)
+
+    def shown(prefix: str, c: ColumnInfo) -> Column:
+        value = col(prefix + c.name)
+        text = canonical(ColumnInfo(c.name, amount), value.cast(amount)) if c.floating else canonical(c, value)
+        return text.alias(prefix + c.name)
+
+    values = [shown(p, c) for p in ("c__", "b__") for c in cs.compared]
     return rd.rename_keys(pairs.select("k0", "mismatch_type", *values), cs.key_columns)
 
 
@@ -430,26 +436,27 @@ def dataset_verdicts(spark, sf_dir):
     return vd.dataset_verdicts(_dataset_checks(spark, sf_dir))
 
 
-# Which datasets each run holds; a dataset declared new is SKIPPED without being read.
-RUNS = {
-    "run_a": ("orders_mutated", "orders_same"),
-    "run_b": ("orders_same", "customer_same", "part_drift"),
-    "run_c": ("new:events",),
-    "run_d": ("customer_same", "new:pages"),
-    "run_e": ("lineitem_mutated", "new:labels"),
+# Runs and their datasets come from the events: a run for every RUN_MOD users, holding the dataset that stands for each
+# type of event the users have. The first such event tells whether the dataset was new then, or could not be read.
+RUN_MOD = 40
+NEW_MOD, BROKEN_MOD = 3, 5
+DATASET_OF_EVENT = {
+    "click": "orders_mutated",
+    "error": "lineitem_mutated",
+    "purchase": "orders_same",
+    "signup": "part_drift",
+    "view": "customer_same",
 }
 
 
 def _run_dataset_verdicts(spark, sf_dir) -> DataFrame:
-    computed = dataset_verdicts(spark, sf_dir)
-    membership = spark.createDataFrame(
-        [(run, d) for run, ds in RUNS.items() for d in ds], "run_id string, dataset string"
-    )
-    return membership.join(computed, "dataset", "left").select(
-        "run_id",
-        F.regexp_replace("dataset", "^new:", "").alias("dataset"),
-        F.when(col("dataset").startswith("new:"), F.lit("SKIPPED")).otherwise(col("verdict")).alias("verdict"),
-    )
+    names = F.create_map(*[F.lit(x) for pair in DATASET_OF_EVENT.items() for x in pair])
+    run = F.concat(F.lit("run-"), (col("user_id") % RUN_MOD).cast("string")).alias("run_id")
+    events = fx.table(spark, sf_dir, "events")
+    held = events.groupBy(run, names[col("event_type")].alias("dataset")).agg(F.min("event_id").alias("first"))
+    judged = held.where(col("dataset").isNotNull()).join(dataset_verdicts(spark, sf_dir), "dataset", "left")
+    state = F.when(col("first") % NEW_MOD == 0, F.lit("SKIPPED")).when(col("first") % BROKEN_MOD == 0, F.lit("ERROR"))
+    return judged.select("run_id", "dataset", state.otherwise(col("verdict")).alias("verdict"))
 
 
 def run_verdict(spark, sf_dir):
@@ -457,12 +464,14 @@ def run_verdict(spark, sf_dir):
 
 
 def unverified_datasets(spark, sf_dir):
-    return _run_dataset_verdicts(spark, sf_dir).where(col("verdict") == "SKIPPED").select("run_id", "dataset")
+    names = vd.unverified_datasets(_run_dataset_verdicts(spark, sf_dir))
+    return names.select("run_id", F.array_join("unverified_datasets", ",").alias("unverified_datasets"))
 
 
 # --- run records and history ---------------------------------------------------------------------------------------
 
 AS_OF = "2024-01-20T00:00:00.000Z"
+NO_TIME_MOD = 41
 STALE_AFTER_SECONDS = 6 * 3600
 HISTORY_PIPELINE = "p1"
 HISTORY_FROM = "2024-01-05T00:00:00Z"
@@ -501,6 +510,9 @@ def record_lines(spark, sf_dir) -> DataFrame:
         datasets.alias("datasets"),
         F.when(et == "view", F.array(F.lit("orders"))).otherwise(F.array().cast("array<string>")).alias("unverified_datasets"),
     )
+    record = record.withField(
+        "started_at", F.when(col("event_id") % NO_TIME_MOD == 0, F.lit("not a time")).otherwise(record["started_at"])
+    )
     line = (
         F.when(col("event_id") % 500 == 7, F.lit("{ this is not json"))
         .when(col("event_id") % 777 == 5, F.lit('{"junk":true}'))
