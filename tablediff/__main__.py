@@ -7,7 +7,8 @@ comparison semantics rely on are applied to it.
     python -m tablediff history --results-root s3a://res --pipeline orders --from 2026-09-01T00:00:00Z --limit 20
 
 ``run.json`` is ``{"pipeline": ..., "range": {"from": ..., "to": ...}, "datasets": [{"name": ..., "candidate":
-{"path": ...}, "baseline": {"path": ...}, "key_columns": [...], ...}]}``; unknown fields are rejected. The exit code of
+{"path": ...}, "baseline": {"path": ...}, "key_columns": [...], ...}]}``, for tables in databases also ``"connections":
+{"candidate": {"url": ..., "user": ..., "password_env": ...}, "baseline": {...}}``; unknown fields are rejected. The exit code of
 ``run`` is 0 for PASS or SKIPPED, 1 for FAIL, 2 for ERROR and 3 for a refused configuration.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -39,18 +41,36 @@ def _summary(record: dict) -> dict:
     return out
 
 
+def _connection(described: dict):
+    """A database connection from the run description; ``password_env`` names the variable that holds the password."""
+    from .sources.jdbc import JdbcConnection
+
+    fields = dict(described)
+    variable = fields.pop("password_env", None)
+    if variable is not None:
+        fields["password"] = os.environ[variable]
+    return JdbcConnection(**fields)
+
+
 def run(args, spark: SparkSession | None = None) -> int:
     from .plans.compare import compare_all
     from .spec import Environment, Environments, run_from_dict
 
     with open(args.config) as f:
         try:
-            pipeline, specs, rng = run_from_dict(json.load(f))
+            described = json.load(f)
+            links = {side: _connection(c) for side, c in described.pop("connections", {}).items()}
+            if set(links) - {"candidate", "baseline"}:
+                raise ValueError(f"unknown side(s) in connections: {', '.join(sorted(links))}")
+            pipeline, specs, rng = run_from_dict(described)
         except (ValueError, TypeError, KeyError) as e:
             print(json.dumps({"refused": [str(e)]}))
             return REFUSED
     spark = spark or _session()
-    envs = Environments(Environment(root=args.candidate_root), Environment(root=args.baseline_root))
+    envs = Environments(
+        Environment(root=args.candidate_root, jdbc=links.get("candidate")),
+        Environment(root=args.baseline_root, jdbc=links.get("baseline")),
+    )
     try:
         record = compare_all(spark, pipeline, specs, rng=rng, sample_size=args.sample_size, envs=envs, results_root=args.results_root)
     except ValueError as e:

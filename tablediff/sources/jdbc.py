@@ -10,7 +10,6 @@ import math
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_FETCH_SIZE = 10_000
@@ -36,6 +35,8 @@ class JdbcConnection:
             "queryTimeout": str(self.query_timeout_seconds),
             "pushDownPredicate": "true",
             "pushDownAggregate": "true",
+            # A plain TIMESTAMP has no zone, so it can be a key; only zoned types arrive as instants.
+            "preferTimestampNTZ": "true",
         }
         if self.user is not None:
             opts["user"] = self.user
@@ -111,21 +112,32 @@ def read_table(spark: SparkSession, conn: JdbcConnection, schema: str, table: st
     return spark.read.format("jdbc").options(**table_reader_options(conn, schema, table, **partitioning)).load()
 
 
+def table_exists(spark: SparkSession, conn: JdbcConnection, schema: str, table: str) -> bool:
+    """Whether the database's own catalogue lists the table or view. An error here (host, login, database) is raised:
+    it says nothing about the table."""
+    jvm, given = spark.sparkContext._jvm, conn.options()
+    if "driver" in given:
+        jvm.java.lang.Class.forName(given["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    properties = jvm.java.util.Properties()
+    for name in ("user", "password", *conn.extra):
+        if name in given:
+            properties.setProperty(name, given[name])
+    link = jvm.java.sql.DriverManager.getConnection(given["url"], properties)
+    try:
+        meta = link.getMetaData()
+        escape = meta.getSearchStringEscape()
+        exact = [n.replace(escape, escape * 2).replace("_", escape + "_").replace("%", escape + "%") for n in (schema, table)]
+        return meta.getTables(None, *exact, None).next()
+    finally:
+        link.close()
+
+
 def read_table_or_none(
     spark: SparkSession, conn: JdbcConnection, schema: str, table: str, split_column: str | None = None
 ) -> DataFrame | None:
-    """The table (split on ``split_column`` when given), or None when the database reports that it does not exist."""
-    try:
-        if split_column is not None:
-            df = read_table_split(spark, conn, schema, table, split_column)
-        else:
-            df = read_table(spark, conn, schema, table)
-        df.schema
-        return df
-    except AnalysisException:
-        raise
-    except Exception as e:  # the JDBC driver's own "no such table" error arrives wrapped
-        text = str(e).lower()
-        if "does not exist" in text or "not found" in text or "ora-00942" in text:
-            return None
-        raise
+    """The table (split on ``split_column`` when given), or None when the database's catalogue does not list it."""
+    if not table_exists(spark, conn, schema, table):
+        return None
+    if split_column is not None:
+        return read_table_split(spark, conn, schema, table, split_column)
+    return read_table(spark, conn, schema, table)

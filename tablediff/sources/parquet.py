@@ -2,56 +2,75 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-# A folder level named like ``key=value`` means Hive-style partitioning; partition discovery then adds the keys as
-# columns and prunes folders by them. Otherwise files are gathered recursively.
-_PARTITION_LEVEL = re.compile(r"/[^/=]+=[^/]*(/|$)")
 
+class MixedFiles(ValueError):
+    """Files of one dataset disagree about its columns."""
 
-def _has_partition_folders(spark: SparkSession, path: str) -> bool:
-    """Whether the folder's first level is named ``key=value`` (looked up through the Hadoop file system; without
-    access to it, as in a remote session, plain recursive reading is assumed)."""
-    try:
-        jvm = spark.sparkContext._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop_path) or not fs.getFileStatus(hadoop_path).isDirectory():
-            return False
-        statuses = fs.listStatus(hadoop_path)
-    except Exception:  # noqa: BLE001
-        return False
-    return any(s.isDirectory() and _PARTITION_LEVEL.search("/" + s.getPath().getName()) for s in statuses)
+
+def _below(path: str, file: str) -> list[str]:
+    """The folders between a dataset's root and one of its files."""
+    root = path.rstrip("/").split("://")[-1].split(":")[-1]
+    return file.partition(root + "/")[2].split("/")[:-1]
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """All Parquet files under ``path`` as one dataset.
 
-    Nested plain folders are read recursively (``recursiveFileLookup``); ``key=value`` folders keep partition
-    discovery so that a row range on a partition column prunes whole folders.
+    Files are gathered recursively. If a folder at any depth is named ``key=value``, Spark's partition discovery reads
+    the dataset instead, so the keys are columns and a range on them prunes folders; folders that it can't bring into
+    one layout raise.
+    """
+    plain = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    files = plain.inputFiles()
+    if not any("=" in folder for f in files for folder in _below(path, f)):
+        return plain
+    keyed = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    if len(keyed.inputFiles()) != len(files):
+        raise MixedFiles(f"{path}: some files are in key=value folders and some are not")
+    return keyed
+
+
+def require_one_schema(spark: SparkSession, path: str) -> None:
+    """Raise :class:`MixedFiles` unless all files hold the same columns with the same types.
+
+    Spark takes the columns of one file for all: a column that only other files have would vanish, one that they lack
+    would read as NULL, and a comparison could pass for it. The footers (no rows) are read in parallel threads of the
+    driver's Parquet library.
     """
-    reader = spark.read
-    if not _has_partition_folders(spark, path):
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    return reader.parquet(path)
+    plain = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    statuses = jvm.java.util.ArrayList()
+    for f in plain.inputFiles():
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        statuses.add(at.getFileSystem(conf).getFileStatus(at))
+    footers = jvm.org.apache.parquet.hadoop.ParquetFileReader.readAllFootersInParallel(conf, statuses, True)
+    first = None
+    for footer in footers:
+        fields = footer.getParquetMetadata().getFileMetaData().getSchema().getFields()
+        columns = sorted(" ".join(str(c).split()[1:]) for c in fields)  # without required or optional
+        if first is None:
+            first = columns
+        elif columns != first:
+            odd = sorted({*columns} ^ {*first})
+            raise MixedFiles(f"{path}: files disagree about {', '.join(odd)}")
 
 
 def read_dataset_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The dataset, or None when nothing exists at ``path``.
+    """The dataset, or None when nothing exists at ``path``; files that disagree raise.
 
     An existing but empty dataset still has its columns, so it is not None.
     """
     try:
         df = read_dataset(spark, path)
-        df.schema  # resolves the file listing
-        return df
     except AnalysisException as e:
         if _is_missing(e):
             return None
         raise
+    require_one_schema(spark, path)
+    return df
 
 
 def _is_missing(e: AnalysisException) -> bool:
