@@ -6,7 +6,6 @@ Only the settings the comparison depends on are forced; everything else is left
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -47,22 +46,3 @@ def prepare(spark: SparkSession) -> SparkSession:
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints.
-
-    Read from the session; a private folder is only chosen when none is set (local tests), never on a cluster.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if current:
-            sc.setCheckpointDir(current)
-    if not current:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set; a cluster must name a shared checkpoint folder")
-        current = tempfile.mkdtemp(prefix="tablediff-ckpt-")
-        sc.setCheckpointDir(current)
-    return current
