@@ -19,7 +19,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,8 @@ TOKENS = 64
 SMALL = 256
 DEPTH = 3
 BLOCK = 512
+# Bits of the filter that the texts to be checked are told by: 16 MB.
+FILTER_BITS = 1 << 27
 # Five standard deviations of the estimate below the threshold: such a pair is not checked further.
 MARGIN = 5 * math.sqrt(0.25 / TOKENS)
 
@@ -110,94 +111,166 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
     return rows.select("cls", "run", leaf.alias("leaf"))
 
 
-def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+def _in_blocks(members: DataFrame) -> DataFrame:
     """``members`` dealt to (leaf, a, b): the pairs a <= b of the leaf's blocks of about BLOCK sets; ``own`` is a row's block."""
-    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
-    dealt = members.join(sizes, "leaf").withColumn("blocks", blocks)
+    dealt = members.withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("*", other.alias("other"))
     return dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("blocks", "sets", "other")
 
 
-def _candidates(group: pd.DataFrame, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, later rows) of one leaf's rows that may be linked and have no earlier leaf in common."""
-    tokens = np.stack([np.frombuffer(t, "<u2") for t in group["tokens"]])
-    leaves = np.stack(group["leaves"].to_list())
-    n, own = group["n"].to_numpy(), group["own"].to_numpy()
-    run, across = int(group["run"].iloc[0]), group["a"].iloc[0] != group["b"].iloc[0]
-    for i in range(len(group) - 1):
-        rest = np.arange(i + 1, len(group))
-        if across:
-            rest = rest[own[rest] != own[i]]
-        near = np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i])
-        rest = rest[near]
-        rest = rest[(tokens[rest] == tokens[i]).mean(1) >= threshold - MARGIN]
-        if run:
-            rest = rest[~(leaves[rest, :run] == leaves[i, :run]).any(1)]
-        if len(rest):
-            yield i, rest
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows sorted by (leaf, a, b) as tables of whole groups, with each group's first row and end."""
+    held: list[pa.RecordBatch] = []
+
+    def split(table: pa.Table) -> np.ndarray:
+        keys = [table.column(c).to_numpy() for c in ("leaf", "a", "b")]
+        new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        return np.flatnonzero(np.concatenate(([True], new)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = split(table)
+        if len(starts) > 1:  # the last group may go on in the next batch
+            yield table.slice(0, starts[-1]), list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+            held = table.slice(starts[-1]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = split(table).tolist()
+        yield table, list(zip(starts, [*starts[1:], table.num_rows]))
+
+
+class _Rows:
+    """The columns of a table that pairs are told by."""
+
+    def __init__(self, table: pa.Table):
+        one = lambda c: table.column(c).combine_chunks() if table.num_rows else table.column(c)
+        self.tokens = np.frombuffer(b"".join(one("tokens").to_pylist()), "<u2").reshape(-1, TOKENS)
+        self.leaves = np.array(one("leaves").to_pylist(), np.int64)
+        self.n, self.own, self.run = (one(c).to_numpy() for c in ("n", "own", "run"))
+        self.across = one("a").to_numpy() != one("b").to_numpy()
+
+    def candidates(self, lo: int, hi: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, later rows) of the group lo..hi-1 that may be linked and have no earlier leaf in common."""
+        run, across = int(self.run[lo]), bool(self.across[lo])
+        for i in range(lo, hi - 1):
+            rest = slice(i + 1, hi)
+            n = self.n[rest]
+            good = np.minimum(n, self.n[i]) >= threshold * np.maximum(n, self.n[i])
+            good &= (self.tokens[rest] == self.tokens[i]).sum(1) >= (threshold - MARGIN) * TOKENS
+            if across:
+                good &= self.own[rest] != self.own[i]
+            if run and good.any():
+                good &= ~(self.leaves[rest, :run] == self.leaves[i, :run]).any(1)
+            rows = np.flatnonzero(good) + i + 1
+            if len(rows):
+                yield i, rows
+
+
+LIKELY = "leaf long, run int, a int, b int, own int, cls binary, n int, tokens binary, leaves array<long>"
 
 
 def _likely(threshold: float):
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        hit = np.zeros(len(group), bool)
-        for i, rest in _candidates(group, threshold):
-            hit[i] = True
-            hit[rest] = True
-        return group.loc[hit, ["leaf", "run", "a", "b", "own", "cls"]]
+    """The rows that have a likely partner in their group."""
 
-    return of
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in _groups(batches):
+            rows, hit = _Rows(table), np.zeros(table.num_rows, bool)
+            for lo, hi in groups:
+                for i, rest in rows.candidates(lo, hi, threshold):
+                    hit[i] = True
+                    hit[rest] = True
+            yield from table.filter(pa.array(hit)).to_batches()
+
+    return run
 
 
 def _linked(threshold: float):
-    """Per row of a leaf: how many of the others it is linked with, and the smallest set it is connected with."""
-
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-        names = group["cls"].to_list()
-        links, parent = np.zeros(len(sets), np.int64), list(range(len(sets)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i, rest in _candidates(group, threshold):
-            own = sets[i]
-            others = np.concatenate([sets[j] for j in rest])
-            at = np.minimum(np.searchsorted(own, others), len(own) - 1)
-            sizes = np.array([len(sets[j]) for j in rest])
-            both = np.add.reduceat((own[at] == others).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-            for j in rest[both >= threshold * (len(own) + sizes - both) - 1e-9]:
-                links[i] += 1
-                links[j] += 1
-                x, y = root(i), root(j)
-                if names[x] > names[y]:
-                    x, y = y, x
-                parent[y] = x
-        out = pd.DataFrame({"cls": names, "links": links, "least": [names[root(i)] for i in range(len(sets))]})
-        return out[out["links"] > 0]
-
-    return of
+    """Per row: how many of its group it is linked with, and the smallest set of the group it is connected with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in _groups(batches):
+            rows, names = _Rows(table), table.column("cls").to_pylist()
+            sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+            links, parent = np.zeros(len(sets), np.int64), list(range(len(sets)))
+
+            def root(i: int, parent=parent) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            for lo, hi in groups:
+                for i, rest in rows.candidates(lo, hi, threshold):
+                    own = sets[i]
+                    others = np.concatenate([sets[j] for j in rest])
+                    at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+                    sizes = np.array([len(sets[j]) for j in rest])
+                    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                    both = np.add.reduceat((own[at] == others).astype(np.int64), starts)
+                    for j in rest[both >= threshold * (len(own) + sizes - both) - 1e-9].tolist():
+                        links[i] += 1
+                        links[j] += 1
+                        x, y = root(i), root(j)
+                        if names[x] > names[y]:
+                            x, y = y, x
+                        parent[y] = x
+            good = np.flatnonzero(links).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([names[i] for i in good], pa.binary()),
+                    pa.array(links[good], pa.int64()),
+                    pa.array([names[root(i)] for i in good], pa.binary()),
+                ],
+                names=["cls", "links", "least"],
+            )
+
+    return run
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b")
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """One bit for each value of k1 modulo FILTER_BITS: FILTER_BITS / 8 bytes, whatever the number of keys."""
+    place = F.pmod("k1", F.lit(FILTER_BITS)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("part"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+        own = np.frombuffer(r["bits"], np.uint8)
+        out[(r["part"] - 1) * len(own) : r["part"] * len(own)] = own
+    return out
 
 
 def _shingles_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """Rows (cls, shingles) of the wanted (k1, k2, cls)."""
+    """Rows (cls, shingles) of the wanted (k1, k2, cls).
+
+    A broadcast bitmap of fixed size keeps most texts that are not wanted from being worked on and moved; the join by
+    the whole key decides.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
+            place = np.mod(batch.column(0).to_numpy(), FILTER_BITS)
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                shingles, starts = shingle_sets(part.column(1).cast(pa.binary()))
+                shingles, starts = shingle_sets(part.column(2).cast(pa.binary()))
                 raw = [shingles[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["cls", "shingles"])
+                columns = [part.column(0), part.column(1), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "shingles"])
 
     text = whole_text(text_col)
-    rows = docs.select(*text_key(text), F.lower(text).alias("text")).join(wanted, ["k1", "k2"])
-    one = rows.select("cls", "text").mapInArrow(run, "cls binary, shingles binary")
-    return one.groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    rows = docs.select(*text_key(text), F.lower(text).alias("text"))
+    found = rows.mapInArrow(run, "k1 long, k2 long, shingles binary").join(wanted, ["k1", "k2"])
+    return found.groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
 def components(edges: DataFrame, at: str) -> DataFrame:
@@ -250,23 +323,19 @@ def _joined_classes(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     all_leaves = placed.groupBy("cls").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("run", "leaf"))), lambda x: x["leaf"]).alias("leaves")
     )
-    shared = written(placed.join(sizes.select("leaf"), "leaf", "left_semi"), at + "/shared")
+    shared = written(placed.join(sizes, "leaf"), at + "/shared")
     about = classes.select("cls", "n", "tokens").join(all_leaves, "cls")
     about = about.join(shared.select("cls").distinct(), "cls", "left_semi")
     members = written(shared.join(about, "cls"), at + "/members")
     drop_path(spark, at + "/leaves")
     drop_path(spark, at + "/shared")
 
-    dealt = _in_blocks(members, sizes)
-    likely = dealt.groupBy("leaf", "a", "b").applyInPandas(
-        _likely(threshold), "leaf long, run int, a int, b int, own int, cls binary"
-    )
-    likely = written(likely, at + "/likely")
+    likely = _grouped(_in_blocks(members).select([c.split()[0] for c in LIKELY.split(", ")]))
+    likely = written(likely.mapInArrow(_likely(threshold), LIKELY), at + "/likely")
     wanted = likely.select("cls").distinct().join(classes.select("cls", "first.k1", "first.k2"), "cls")
     sets = written(_shingles_of(docs, text_col, written(wanted, at + "/wanted")), at + "/sets")
-    known = members.select("cls", "leaf", "n", "tokens", "leaves")
-    checked = likely.join(known, ["cls", "leaf"]).join(sets, "cls")
-    partial = checked.groupBy("leaf", "a", "b").applyInPandas(_linked(threshold), "cls binary, links long, least binary")
+    checked = _grouped(likely.join(sets, "cls"))
+    partial = checked.mapInArrow(_linked(threshold), "cls binary, links long, least binary")
     partial = written(partial, at + "/links")
     degrees = partial.groupBy("cls").agg(F.sum("links").alias("n_links"))
     labels = components(partial.select(F.col("cls").alias("a"), F.col("least").alias("b")), at)
