@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablediff.llm.common import drop_path, shared_dir, text_key, whole_text, written
+from tablediff.llm.common import arrow_rows, drop_path, shared_dir, text_key, whole_text, written
 from tablediff.llm.shingles import constants, min_hashes, set_keys, shingle_sets
 from tablediff.llm.shingles import _mixed as mixed
 
@@ -36,6 +36,8 @@ DEPTH = 3
 BLOCK = 512
 # Bits of the filter that the texts to be checked are told by: 16 MB.
 FILTER_BITS = 1 << 27
+# Rows that a Python worker gets at a time: a row may carry all shingles of a text.
+BATCH_ROWS = 1000
 # Five standard deviations of the estimate below the threshold: such a pair is not checked further.
 MARGIN = 5 * math.sqrt(0.25 / TOKENS)
 
@@ -302,7 +304,15 @@ def components(edges: DataFrame, at: str) -> DataFrame:
 
 
 def _joined_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> DataFrame:
-    """Rows (id, k1, k2, class_id, first, n_links, n_copies) of the texts with a word; first is (id, k1, k2)."""
+    """Rows (id, k1, k2, class_id, first, n_links, n_copies) of the texts with a word; first is (id, k1, k2).
+
+    All steps that run Python write their tables in here.
+    """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _classes_of(docs, id_col, text_col, threshold, recall)
+
+
+def _classes_of(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> DataFrame:
     spark = docs.sparkSession
     at = shared_dir(spark)
     runs = runs_for(threshold, recall)
