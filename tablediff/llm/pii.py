@@ -3,15 +3,15 @@
 Everything is DataFrame expressions. Emails, addresses, card and phone numbers are found by pattern, with offsets, in
 each row. Then the corpus is asked which terms reveal such a value. For a value e and a term t,
 
-    P(e) = texts with e / texts,   P(e | t) = texts with t within NEAR characters of e / texts with t,
+    P(e) = documents with e / documents,   P(e | t) = documents with t within NEAR characters of e / documents with t,
 
 and t discloses log2 P(e | t) / P(e) of the -log2 P(e) bits that e amounts to. A term that discloses at least the share
-ALPHA of them, in MIN_TEXTS different texts or more, is a span of kind ``term`` wherever it stands. Copies of a text count
-once. Sanitising generalises each span to the name of its kind.
+ALPHA of them, that is if P(e | t) >= P(e) ^ (1 - ALPHA), and stands near e in MIN_TEXTS different texts or more, is a span
+of kind ``term`` wherever it stands. Sanitising generalises each span to the name of its kind.
 
-Terms are runs of at least TERM_LETTERS letters, in lower case. Only terms that stand near one value in MIN_TEXTS texts
-are counted in the rest of the corpus; that is a join by term, of which Spark broadcasts the candidates or not by the
-size of their written table.
+Terms are runs of at least TERM_LETTERS letters, in lower case. Only terms that stand near one value in MIN_TEXTS texts,
+and are not already too frequent in the documents with values, are counted in the rest of the corpus; that is a join by
+term, of which Spark broadcasts the candidates or not by the size of their written table.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ NEAR = 96
 ALPHA = 0.9
 MIN_TEXTS = 3
 
+# Words of the filter that keeps texts without a disclosing term from being moved: 1 MB.
+FILTER_WORDS = 1 << 17
+
 COLUMNS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 FOUND = "array<struct<start:int,kind:int,end:int>>"
 
@@ -103,36 +106,64 @@ def _around(text: Column, span: Column) -> Column:
     return _words(F.concat(left, F.lit(" "), right))
 
 
+def _pairs(text: Column) -> Column:
+    """The distinct (value, term) of a text: each value with the terms near it. A value is kept as its hash."""
+
+    def of(span: Column) -> Column:
+        own = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+        plain = F.when(span["kind"] >= 2, F.regexp_replace(own, "[^0-9]", "")).otherwise(F.lower(own))
+        value = F.xxhash64(F.concat_ws(":", span["kind"], plain))
+        named = lambda v: F.transform(_around(text, span), lambda t: F.struct(v.alias("value"), t.alias("term")))
+        return once(value, named)
+
+    return F.array_distinct(F.flatten(F.transform(base_spans(text), of)))
+
+
 def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, min_texts: int = MIN_TEXTS) -> DataFrame:
     """Rows (term, k1, k2): the terms that disclose a value found in ``docs``, with the key of each text that holds them."""
-    spark = docs.sparkSession
-    at = shared_dir(spark)
+    at = shared_dir(docs.sparkSession)
     text = whole_text(text_col)
     keyed = docs.select(*text_key(text), text.alias("text"))
     with_values = keyed.where(F.contains(text, F.lit("@")) | text.rlike("[0-9]"))
-
-    def value(t: Column, s: Column) -> Column:
-        own = F.substring(t, s["start"] + 1, s["end"] - s["start"])
-        plain = F.when(s["kind"] >= 2, F.regexp_replace(own, "[^0-9]", "")).otherwise(F.lower(own))
-        return F.struct(F.concat_ws(":", s["kind"], plain).alias("value"), _around(t, s).alias("terms"))
-
-    spans = with_values.select("k1", "k2", "text", F.explode(base_spans(F.col("text"))).alias("s"))
-    near = spans.select("k1", "k2", value(F.col("text"), F.col("s")).alias("v"))
-    near = near.select("k1", "k2", F.xxhash64("v.value").alias("value"), F.explode("v.terms").alias("term")).distinct()
-    near = written(near, at + "/near")
-    texts = keyed.select("k1", "k2").distinct().count()
-    # Texts with the value: those in which it has a term nearby; one without any can't be disclosed.
-    per_value = near.select("value", "k1", "k2").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("of_value"))
-    both = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_texts)
-    both = written(both.join(per_value, "value"), at + "/both")
-    candidates = written(both.select("term").distinct(), at + "/candidates")
-    holders = keyed.select("k1", "k2", F.explode(_words(F.col("text"))).alias("term")).join(candidates, "term")
-    holders = written(holders.distinct(), at + "/holders")
-    per_term = holders.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    prior = F.col("of_value") / F.lit(float(max(texts, 1)))
-    disclosed = F.log2(F.col("both") / F.col("of_term") / prior)
-    chosen = both.join(per_term, "term").where(disclosed >= alpha * -F.log2(prior)).where(prior < 1)
-    return holders.join(chosen.select("term").distinct(), "term")
+    near = with_values.select("k1", "k2", F.explode(_pairs(F.col("text"))).alias("p")).groupBy("k1", "k2", "p.value", "p.term")
+    near = written(near.agg(F.count(F.lit(1)).alias("rows")), at + "/near")
+
+    total = docs.count()
+    per_value = near.groupBy("value", "k1", "k2").agg(F.max("rows").alias("rows"))
+    per_value = per_value.groupBy("value").agg((F.sum("rows") / F.lit(float(max(total, 1)))).alias("prior"))
+    both = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("both"))
+    both = both.where(F.col("texts") >= min_texts).join(per_value, "value").where(F.col("prior") < 1)
+    # The most documents that a term may stand in and still disclose the share alpha of some value.
+    most = F.col("both") / F.pow(F.col("prior"), F.lit(1 - alpha))
+    both = both.groupBy("term").agg(F.max(most).alias("most"))
+    candidates = written(both, at + "/candidates")
+
+    # Documents with values alone give a lower bound of a term's frequency, which common words exceed; what is left is
+    # looked for everywhere.
+    there = with_values.select(F.explode(_words(F.col("text"))).alias("term")).join(candidates, "term")
+    rare = there.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.first("most").alias("most")).where("n <= most")
+    rare = written(rare.select("term", "most"), at + "/rare")
+    holders = keyed.select("k1", "k2", F.explode(_words(F.col("text"))).alias("term")).join(rare, "term")
+    holders = holders.groupBy("k1", "k2", "term").agg(F.count(F.lit(1)).alias("n"), F.first("most").alias("most"))
+    holders = written(holders, at + "/holders")
+    chosen = holders.groupBy("term").agg(F.sum("n").alias("n"), F.first("most").alias("most")).where("n <= most")
+    return holders.select("k1", "k2", "term").join(chosen.select("term"), "term")
+
+
+def _bitmap(keys: DataFrame) -> Column:
+    """One bit for each value of k1 modulo 64 * FILTER_WORDS, as a scalar subquery: FILTER_WORDS longs, however many keys."""
+    place = F.pmod("k1", F.lit(64 * FILTER_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = keys.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    every = keys.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "word").join(words, "word", "left")
+    dense = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("w"))
+    return dense.select(F.transform("w", lambda x: x["bits"])).scalar()
+
+
+def _bit(words: Column, key: Column) -> Column:
+    place = F.pmod(key, F.lit(64 * FILTER_WORDS))
+    word = F.get(words, F.floor(place / 64).cast("int"))
+    return F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -147,9 +178,11 @@ def find_pii(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, min_
     per_text = terms.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("term")).alias("__terms"))
     per_text = written(per_text, shared_dir(docs.sparkSession) + "/terms")
     k1, k2 = text_key(text)
-    joined = docs.withColumns({"__k1": k1, "__k2": k2}).join(
-        per_text.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left"
-    )
+    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
+    # Only texts whose bit is set meet the terms; the others keep the spans that they have by themselves.
+    told = _bit(_bitmap(per_text), F.col("__k1"))
+    plain = keyed.where(~told).withColumn("found", base_spans(text))
+    joined = keyed.where(told).join(per_text.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
 
     def with_terms(base: Column) -> Column:
         # Longest first does not matter: a term is a whole run of letters.
@@ -159,7 +192,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, min_
         named = F.transform(own, lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), t["end"].alias("end")))
         return F.when(F.col("__terms").isNull(), base).otherwise(F.sort_array(F.concat(base, named)))
 
-    return joined.withColumn("found", once(base_spans(text), with_terms)).select(*docs.columns, "found")
+    found = joined.withColumn("found", once(base_spans(text), with_terms))
+    return plain.select(*docs.columns, "found").unionByName(found.select(*docs.columns, "found"))
 
 
 def _is(kind: str) -> Callable[[Column], Column]:
