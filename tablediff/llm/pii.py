@@ -140,8 +140,8 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", alpha: float = ALP
 
     # Documents with values alone give a lower bound of a term's frequency, which common words exceed; what is left is
     # looked for everywhere.
-    there = with_values.select(F.explode(_words(F.col("text"))).alias("term")).join(candidates, "term")
-    rare = there.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.first("most").alias("most")).where("n <= most")
+    there = with_values.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").count()
+    rare = there.join(candidates, "term").where(F.col("count") <= F.col("most"))
     rare = written(rare.select("term", "most"), at + "/rare")
     holders = keyed.select("k1", "k2", F.explode(_words(F.col("text"))).alias("term")).join(rare, "term")
     holders = holders.groupBy("k1", "k2", "term").agg(F.count(F.lit(1)).alias("n"), F.first("most").alias("most"))
