@@ -25,12 +25,11 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole document, learned from the labelled ones that are not held out."""
-    from tablediff.llm.language_id import held_out, learn, predict
+    from tablediff.llm.language_id import held_out, identify
 
     docs = _table(spark, sf_dir, "documents")
-    trees = learn(docs.where(~held_out()).select("lang", "text"))
     texts = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return predict(texts, trees).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(texts, docs.where(~held_out()).select("lang", "text")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

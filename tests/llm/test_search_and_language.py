@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from rows import DDL, empty, frame, words
 
-from tablediff.llm.language_id import ContextTrees, held_out, learn, predict
+from tablediff.llm.language_id import ContextTrees, held_out, identify, learn, predict
 from tablediff.llm.topk_search import voronoi_topk
 
 
@@ -125,3 +125,39 @@ def test_a_model_keeps_within_its_bound(spark):
     docs = spark.createDataFrame([("en", words(rng, 400)), ("de", words(rng, 400, "üöä"))], "lang string, text string")
     trees = learn(docs, max_runs=100)
     assert isinstance(trees, ContextTrees) and len(trees.known) <= 100
+
+
+def test_every_run_counts_with_many_languages(spark):
+    import pyarrow as pa
+
+    rng = random.Random(36)
+    training = {f"l{i:03}": ["few words"] for i in range(298)}
+    training |= {"de": [words(rng, 900, "abcdefgäöü") for _ in range(2)], "en": [words(rng, 900) for _ in range(2)]}
+    given = [(lang, t) for lang, ts in training.items() for t in ts]
+    docs = spark.createDataFrame(given, "lang string, text string")
+    runs = {t.encode()[i : i + 4] for t in training["en"] for i in range(len(t) - 3)}
+    assert len(runs) > 2 * ((1 << 18) // len(training))
+    trees = learn(docs)
+    for lang in ("de", "en"):
+        text = training[lang][1][:900]
+        got = trees.text_lengths(pa.array([text.encode()]))[0, trees.languages.index(lang)]
+        assert abs(got - brute_bits(text, training[lang])) < 1e-2
+
+
+def test_identify_equals_one_model_in_memory(spark, monkeypatch):
+    from tablediff.llm import language_id
+
+    monkeypatch.setattr(language_id, "SCORED", 4000)  # texts of many strips
+    rng = random.Random(37)
+    labelled = [(i, words(rng, 60, a), lang, "s", 0, "", "") for i in range(20) for lang, a in (("en", "etaoin"), ("de", "etiörsch"), ("fr", "etüaé"))]
+    training = spark.createDataFrame(labelled, DDL)
+    new = [(100 + i, words(rng, 3, "etaoiné"), "en", "s", 0, "", "") for i in range(60)]
+    docs = frame(spark).unionByName(spark.createDataFrame(new, DDL)).unionByName(training.limit(10))
+    out = identify(docs, training)
+    want = predict(docs, learn(training))
+    assert out.columns == want.columns
+    rounded = lambda d: sorted(map(str, d.withColumn("score", F.round("score", 3)).collect()))
+    assert rounded(out) == rounded(want)
+    nothing = identify(docs, empty(spark)).collect()
+    assert len(nothing) == docs.count() and {r["lang_pred"] for r in nothing} == {"und"}
+    assert identify(empty(spark), training).count() == 0
