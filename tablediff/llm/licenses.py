@@ -22,8 +22,9 @@ PHRASE_SCORE = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# A text without any of these holds no keyword of a rule.
-HINTS = ("licen", "spdx", "gpl", "cc", "creative commons", "public domain", "all rights reserved", "bsd", "mpl", "apache", "proprietary")
+# A text without any of these holds no match of a rule. Each is within one word: a match's words may stand on several
+# lines, or have any signs between them.
+HINTS = ("licen", "spdx", "gpl", "cc", "commons", "domain", "reserved", "bsd", "mpl", "apache", "proprietary", "wtfpl", "attribution")
 
 COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 

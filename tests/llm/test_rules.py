@@ -170,3 +170,53 @@ def test_rules_hold_their_keyword_and_hint():
     for keyword, _, _, _, pattern in rules():
         re.compile(pattern)
         assert keyword
+
+
+def samples(rng, parsed):
+    """A string that the parsed pattern is likely to match."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            kind, first = rng.choice(value)
+            out += {"LITERAL": lambda: chr(first), "CATEGORY": lambda: "w", "RANGE": lambda: chr(first[0])}[str(kind)]()
+        elif name == "BRANCH":
+            out += samples(rng, rng.choice(value[1]))
+        elif name == "SUBPATTERN":
+            out += samples(rng, value[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(samples(rng, value[2]) for _ in range(rng.randint(value[0], min(value[0] + 1, value[1]))))
+        elif name == "ASSERT" and value[0] == 1:
+            out += samples(rng, value[1])
+    return out
+
+
+def test_every_rule_is_reached_also_over_lines(spark):
+    from re import _parser
+
+    from tablediff.llm.license_rules import rules
+
+    rng = random.Random(26)
+    given, want = [], []
+    for _, label, _, _, pattern in rules():
+        made = {f"x {samples(rng, _parser.parse(pattern)).strip()} " for _ in range(4)}
+        made = [m for m in sorted(made) if re.search(pattern, m)]
+        assert made, pattern
+        for m in made:
+            given.append((len(given), m.strip().upper().replace(" ", rng.choice(["\n", "  ", "-", " \t* "])), "en", "a", 0, "", ""))
+            want.append((label, pattern))
+    out = license_scan(spark.createDataFrame(given, DDL).repartition(8)).select("doc_id", "labels", "score").collect()
+    labels = {r["doc_id"]: r["labels"].split(",") for r in out}
+    missed = [(given[i][1], want[i]) for i in labels if labels[i] == [""]]
+    assert not missed, missed[:5]
+    got = {pattern for i, (label, pattern) in enumerate(want) if label in labels[i]}
+    assert {pattern for _, pattern in want} == got
+
+
+def test_hints_are_words_of_the_reduced_text(spark):
+    texts = ["public\ndomain", "All Rights\nReserved", "creative-commons  zero", "WTFPL", "MIT No\nAttribution"]
+    given = [(i, f"dedicated to the {t}" if i == 0 else t, "en", "a", 0, "", "") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["labels"] for r in license_scan(spark.createDataFrame(given, DDL)).collect()}
+    assert got == {0: "public-domain", 1: "proprietary", 2: "cc0-1.0", 3: "wtfpl", 4: "mit-0"}
