@@ -1,7 +1,8 @@
 """Ordered signature rules for licences, on texts reduced to lower-case words with one space between them.
 
 Each licence has a label, a keyword that stands in every text that one of its rules can match, and a pattern for its
-name. The rules are the licence's name in each form of FORMS, in the order of their priority.
+name. The rules are the licence's name in each form of FORMS, in the order of their priority; its identifier in the forms
+that only a licence stands in; and sentences of its own text.
 """
 
 from __future__ import annotations
@@ -85,6 +86,68 @@ CC_PARTS = [
 ]
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
+# Identifiers that are no names by themselves: label, first word, the rest of the pattern.
+IDENTIFIERS = [
+    ("mit", "mit", ""),
+    ("mit-0", "mit", " 0"),
+    ("x11", "x11", ""),
+    ("isc", "isc", ""),
+    ("zlib", "zlib", ""),
+    ("postgresql", "postgresql", ""),
+    ("apache-1.0", "apache", " 1 0"),
+    ("apache-1.1", "apache", " 1 1"),
+    ("apache", "apache", ""),
+    ("bsd", "bsd", ""),
+    ("gpl", "gpl", ""),
+    ("agpl", "agpl", ""),
+    ("gfdl", "gfdl", "(?: 1 [123])?(?: only| or later)?"),
+    ("mpl-1.0", "mpl", " 1 0"),
+    ("mpl-1.1", "mpl", " 1 1"),
+    ("mpl", "mpl", ""),
+    ("epl-1.0", "epl", " 1 0"),
+    ("epl-2.0", "epl", " 2 0"),
+    ("epl", "epl", ""),
+    ("cddl", "cddl", "(?: 1 [01])?"),
+    ("cpl-1.0", "cpl", " 1 0"),
+    ("eupl", "eupl", "(?: 1 [012])?"),
+    ("artistic-1.0", "artistic", " 1 0"),
+    ("artistic-2.0", "artistic", " 2 0"),
+    ("bsl-1.0", "bsl", " 1 0"),
+    ("psf-2.0", "psf", " 2 0"),
+    ("psf-2.0", "python", " 2 0"),
+    ("openssl", "openssl", ""),
+    ("php-3.01", "php", " 3 01?"),
+    ("ruby", "ruby", ""),
+    ("ofl-1.1", "ofl", " 1 [01]"),
+    ("ms-pl", "ms", " pl"),
+    ("ms-rl", "ms", " rl"),
+    ("osl-3.0", "osl", " 3 0"),
+    ("afl-3.0", "afl", " 3 0"),
+    ("odbl-1.0", "odbl", " 1 0"),
+]
+
+# Sentences of the licences' own texts: label, keyword, pattern.
+AS_IS = "software is provided as is"
+TEXTS = [
+    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "shall the authors", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("bsl-1.0", "permission is hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsl-1.0", "anyone distributing", r"in no event shall the copyright holders or anyone distributing the software be liable"),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "express or implied warranties", r"this software is provided by (?:\S+ ){1,12}?as is and any express or implied warranties"),
+    ("bsd-3-clause", "neither the name", r"neither the names? of (?:\S+ ){1,16}?(?:nor|or) the names of (?:its|their|any|the) ?contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "all advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    ("isc", "for any purpose with or without fee", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", "for any purpose with or without fee", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("isc", AS_IS, r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("zlib", AS_IS, r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("postgresql", "permission to use", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "do what the fuck", r"do what the fuck you want to"),
+    ("apache-2.0", "shall mean the terms", r"licen[sc]e shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9"),
+]
+TEXT_PRIORITY, TEXT_CONFIDENCE = 2, 0.9
+
 # Priority, the form around a name, and what the form adds to the detection's confidence.
 FORMS = [
     (1, r"spdx licen[sc]e identifier {name}", 1.0),
@@ -108,8 +171,16 @@ def _names() -> list[tuple[str, str, str]]:
 
 def rules() -> list[tuple[str, str, int, float, str]]:
     """(keyword, label, priority, confidence, pattern) of every rule; patterns start and end at a word's edge."""
-    return [
-        (keyword, label, priority, confidence, "(?<= )" + form.format(name=f"(?:{name})") + "(?= )")
+    edged = lambda pattern: "(?<= )" + pattern + "(?= )"
+    named = [
+        (keyword, label, priority, confidence, edged(form.format(name=f"(?:{name})")))
         for priority, form, confidence in FORMS
         for label, keyword, name in _names()
     ]
+    identified = [
+        (f" {word} ", label, priority, confidence, edged(form.format(name=f"(?:{word}{rest})")))
+        for priority, form, confidence in FORMS[:2]
+        for label, word, rest in IDENTIFIERS
+    ]
+    own = [(keyword, label, TEXT_PRIORITY, TEXT_CONFIDENCE, edged(pattern)) for label, keyword, pattern in TEXTS]
+    return named + identified + own

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablediff.llm.common import once, spans_of, whole_text
-from tablediff.llm.license_rules import FORMS, rules
+from tablediff.llm.license_rules import FORMS, IDENTIFIERS, rules
 
 # The phrases that are always looked for, and their labels.
 PHRASES = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
@@ -25,6 +25,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A text without any of these holds no match of a rule. Each is within one word: a match's words may stand on several
 # lines, or have any signs between them.
 HINTS = ("licen", "spdx", "gpl", "cc", "commons", "domain", "reserved", "bsd", "mpl", "apache", "proprietary", "wtfpl", "attribution")
+# Identifiers after "under", and a word of each of the licences' own sentences.
+UNDER = rf"under{SEPARATORS}(?:(?:the|a|terms|of){SEPARATORS})*(?:{'|'.join(sorted({word for _, word, _ in IDENTIFIERS}))})"
+OWN_WORDS = ("hereby", "redistribution", "liable", "warrant", "endorse", "advertising", "permission", "unencumbered", "fuck")
 
 COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -127,7 +130,7 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return once(places, lambda base: once(joined, lambda j: detect(j, base)))
 
     low = F.lower(text)
-    hinted = reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in HINTS))
+    hinted = reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in (*HINTS, *OWN_WORDS))) | low.rlike(UNDER)
     # Lower-casing A-Z only; other letters keep their case and their length.
     lowered = F.translate(text, UPPER, LOWER)
     words = F.array_remove(F.split(lowered, SEPARATORS), "")

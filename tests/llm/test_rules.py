@@ -220,3 +220,22 @@ def test_hints_are_words_of_the_reduced_text(spark):
     given = [(i, f"dedicated to the {t}" if i == 0 else t, "en", "a", 0, "", "") for i, t in enumerate(texts)]
     got = {r["doc_id"]: r["labels"] for r in license_scan(spark.createDataFrame(given, DDL)).collect()}
     assert got == {0: "public-domain", 1: "proprietary", 2: "cc0-1.0", 3: "wtfpl", 4: "mit-0"}
+
+
+def test_identifiers_and_own_texts_give_labels(spark):
+    ids = {"MIT": "mit", "ISC": "isc", "Zlib": "zlib", "PostgreSQL": "postgresql", "EPL-2.0": "epl-2.0", "Artistic-2.0": "artistic-2.0"}
+    ids |= {"EUPL-1.2": "eupl", "CDDL-1.0": "cddl", "OFL-1.1": "ofl-1.1", "BSL-1.0": "bsl-1.0", "MIT-0": "mit-0", "X11": "x11"}
+    cases = [(form.format(i), label) for i, label in ids.items() for form in ("SPDX-License-Identifier: {}", "released under {}", "licensed under\nthe {}.")]
+    cases += [
+        ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files", "mit"),
+        ("IN NO EVENT SHALL THE\n * AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided", "bsd"),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the", "isc"),
+        ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable", "zlib"),
+        ("he is under MIT supervision", ""),
+        ("permits under the limit", ""),
+    ]
+    given = [(i, t, "en", "a", 0, "", "") for i, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: r["labels"] for r in license_scan(spark.createDataFrame(given, DDL)).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == cases
