@@ -6,9 +6,10 @@ determinant estimate is too large:
 
 * rows with the same group and vector are one cell with a count, so later steps work on cells, and a group that holds a
   third of all rows is no larger than its number of different vectors;
-* the start is the coordinatewise median with the median absolute deviation; each concentration step takes the half
-  (``CORE`` of the rows) nearest to the current estimate and works its mean and covariance out. Sums are of whole
-  numbers, so results don't depend on the order of rows;
+* each group has several starts: the coordinatewise median and quartiles with the median absolute deviation, and the
+  median on the plain scale. Each concentration step takes the half (``CORE`` of the rows) nearest to the current
+  estimate and works its mean and covariance out, until the determinant falls no more; the start that ends with the
+  smallest one counts. Sums are of whole numbers, so results don't depend on the order of rows;
 * a fixed share of the grid is added to each variance, since most texts have none of some signs;
 * groups of fewer than ``MIN_ROWS`` rows use their language's estimate, then that of all rows.
 """
@@ -30,12 +31,13 @@ GRID = 64
 DIMS = ("word_length", "symbols", "repeated_lines", "repeated_words")
 # Added to each variance, in units of the logarithm.
 RIDGE = (0.15, 0.6, 0.9, 0.9)
-CORE = 0.75
-STEPS = 4
+CORE = 0.5
+# Where the starts have their centres.
+CENTRES = (0.5, 0.25, 0.75)
 MIN_ROWS = 200
 # Under a normal distribution in four dimensions: the core's covariance is too small by this factor, and squared
 # distances beyond the limit are rarer than one in nine million.
-CORE_FACTOR = 1.486
+CORE_FACTOR = 2.11
 LIMIT = 38.0
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -148,38 +150,47 @@ def _with_distance(cells: DataFrame, estimates: DataFrame) -> DataFrame:
     return joined.withColumn("d2", _distance(mean, weight)).drop(*_estimate_columns())
 
 
-def _start(cells: DataFrame) -> DataFrame:
-    """Median and median absolute deviation of each coordinate, per group."""
-    half = lambda c: F.expr(f"percentile({c}, 0.5, n)")  # noqa: E731  the grid bounds the number of different values
-    centre = cells.groupBy("grp").agg(*[half(d).alias(f"m{i}") for i, d in enumerate(DIMS)])
+def _starts(cells: DataFrame) -> DataFrame:
+    """Quantiles and median absolute deviation of each coordinate, per group; the last start has the ridge for its spread."""
+    at = lambda c, q: F.expr(f"percentile({c}, {q}, n)")  # noqa: E731  the grid bounds the number of different values
+    k = len(DIMS)
+    centres = [at(d, q).alias(f"c{s}{i}") for s, q in enumerate(CENTRES) for i, d in enumerate(DIMS)]
+    centre = cells.groupBy("grp").agg(*centres)
     off = cells.join(centre, "grp").select(
-        "grp", "n", *[F.abs(F.col(d) - F.col(f"m{i}")).alias(f"a{i}") for i, d in enumerate(DIMS)]
+        "grp", "n", *[F.abs(F.col(d) - F.col(f"c0{i}")).alias(f"a{i}") for i, d in enumerate(DIMS)]
     )
-    spread = off.groupBy("grp").agg(*[half(f"a{i}").alias(f"s{i}") for i in range(len(DIMS))])
-    weights = []
-    for i in range(len(DIMS)):
-        sd = F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + (RIDGE[i] * GRID) ** 2)
-        weights += [(1 / sd if i == j else F.lit(0.0)).alias(f"w{i}{j}") for j in range(i + 1)]
-    return centre.join(spread, "grp").select("grp", *[f"m{i}" for i in range(len(DIMS))], *weights)
+    spread = off.groupBy("grp").agg(*[at(f"a{i}", 0.5).alias(f"s{i}") for i in range(k)])
+
+    def start(number: int) -> Column:
+        plain = number == len(CENTRES)
+        fields = [F.lit(number).alias("start"), *[F.col(f"c{0 if plain else number}{i}").alias(f"m{i}") for i in range(k)]]
+        for i in range(k):
+            own = F.lit(0.0) if plain else 1.4826 * F.col(f"s{i}")
+            sd = F.sqrt(F.pow(own, 2) + (RIDGE[i] * GRID) ** 2)
+            fields += [(1 / sd if i == j else F.lit(0.0)).alias(f"w{i}{j}") for j in range(i + 1)]
+        return F.struct(*fields)
+
+    every = F.explode(F.array(*[start(number) for number in range(len(CENTRES) + 1)])).alias("e")
+    return centre.join(spread, "grp").select("grp", every).select("grp", "e.*")
 
 
 def _concentrate(cells: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of each group's nearest rows, as mean and weights.
+    """One concentration step: mean and covariance of each start's nearest rows, as mean and weights.
 
     Distances are compared on a scale of sixteen steps for each doubling, so that the core's limit is exact and needs a
-    bounded number of values per group.
+    bounded number of values per start.
     """
     k = len(DIMS)
     ranked = _with_distance(cells, estimates).withColumn("step", F.floor(16 * F.log2(1 + F.col("d2"))))
-    limit = ranked.groupBy("grp").agg(F.expr(f"percentile(step, {CORE}, n)").alias("limit"))
-    core = ranked.join(limit, "grp").where(F.col("step") <= F.col("limit"))
+    limit = ranked.groupBy("grp", "start").agg(F.expr(f"percentile(step, {CORE}, n)").alias("limit"))
+    core = ranked.join(limit, ["grp", "start"]).where(F.col("step") <= F.col("limit"))
     n = F.col("n")
     sums = [F.sum(n).cast("double").alias("n")]
     sums += [F.sum(n * F.col(DIMS[i])).cast("double").alias(f"s{i}") for i in range(k)]
     sums += [
         F.sum(n * F.col(DIMS[i]) * F.col(DIMS[j])).cast("double").alias(f"s{i}{j}") for i in range(k) for j in range(i + 1)
     ]
-    out = core.groupBy("grp").agg(*sums)
+    out = core.groupBy("grp", "start").agg(*sums)
     out = out.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(k)})
     # Covariance, its Cholesky factor L, and W = L^-1, entry by entry.
     for i in range(k):
@@ -197,7 +208,34 @@ def _concentrate(cells: DataFrame, estimates: DataFrame) -> DataFrame:
             else:
                 w = -sum((F.col(f"l{i}{r}") * F.col(f"w{r}{j}") for r in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}")
             out = out.withColumn(f"w{i}{j}", w)
-    return out.select("grp", *_estimate_columns())
+    return out.select("grp", "start", *_estimate_columns())
+
+
+def _log_det() -> Column:
+    """The logarithm of the covariance's determinant."""
+    return sum((-2 * F.log(F.col(f"w{i}{i}")) for i in range(len(DIMS))), F.lit(0.0))
+
+
+def _converged(cells: DataFrame, at: str) -> DataFrame:
+    """Per group the estimate with the smallest determinant that any start comes to.
+
+    A start goes on as long as a step makes its determinant smaller; as its cores differ then, that ends.
+    """
+    going = written(_starts(cells).withColumn("det", F.lit(None).cast("double")), at + "/estimates0")
+    settled, step = [], 0
+    while going.head(1):
+        step += 1
+        after = _concentrate(cells, going.drop("det")).withColumn("det", _log_det())
+        before = going.select("grp", "start", F.struct(*_estimate_columns(), "det").alias("old"))
+        both = written(after.join(before, ["grp", "start"]), f"{at}/estimates{step}")
+        smaller = F.col("old.det").isNull() | (F.col("det") < F.col("old.det") - 1e-9)
+        settled.append(both.where(~smaller).select("grp", "start", "old.*"))
+        going = both.where(smaller).drop("old")
+    ends = settled[0] if settled else going
+    for more in settled[1:]:
+        ends = ends.unionByName(more)
+    best = F.min(F.struct("det", "start", *_estimate_columns())).alias("best")
+    return ends.groupBy("grp").agg(best).select("grp", *[F.col(f"best.{c}").alias(c) for c in _estimate_columns()])
 
 
 def judge(
@@ -218,9 +256,7 @@ def judge(
     own = written(own, at + "/own")
     named = own.select(F.explode(F.array("g0", "g1", "g2")).alias("grp"), *DIMS, "n")
     cells = written(named.groupBy("grp", *DIMS).agg(F.sum("n").alias("n")), at + "/cells")
-    estimates = written(_start(cells), at + "/estimates0")
-    for step in range(1, STEPS + 1):
-        estimates = written(_concentrate(cells, estimates), f"{at}/estimates{step}")
+    estimates = written(_converged(cells, at), at + "/estimates")
     sizes = cells.groupBy("grp").agg(F.sum("n").alias("rows"))
     known = estimates.join(sizes, "grp").select("grp", "rows", F.struct(*_estimate_columns()).alias("e"))
     chosen = own.select("g0", "g1", "g2").distinct()

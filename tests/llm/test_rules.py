@@ -239,3 +239,11 @@ def test_identifiers_and_own_texts_give_labels(spark):
     given = [(i, t, "en", "a", 0, "", "") for i, (t, _) in enumerate(cases)]
     got = {r["doc_id"]: r["labels"] for r in license_scan(spark.createDataFrame(given, DDL)).collect()}
     assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == cases
+
+
+def test_quality_rejects_junk_that_is_a_third_of_a_group(spark):
+    rng = random.Random(27)
+    clean = [(i, words(rng, rng.randint(60, 200)), "en", "s", 0, "", "") for i in range(400)]
+    junk = [(1000 + i, " ".join(w + "%%%" for w in words(rng, 80).split()), "en", "s", 0, "", "") for i in range(200)]
+    out = quality_rules(spark.createDataFrame([*clean, *junk], DDL)).select("doc_id", "kept").collect()
+    assert {r["doc_id"] for r in out if r["kept"]} == {i for i, *_ in clean}
