@@ -95,6 +95,14 @@ def op10_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_topk(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every whole document stand in windows of benchmark items, by suffix arrays over the documents."""
+    from tablediff.llm.decontaminate import contamination_digest
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination_digest(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 OP10_SQL = """
 WITH ints AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -127,6 +135,7 @@ QUERIES = {
         op8_license_scans,
         op9_best_fit_packing,
         op10_exact_topk_search,
+        op13_decontaminate,
     )
 }
 
