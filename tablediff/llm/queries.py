@@ -95,6 +95,21 @@ def op10_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_topk(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all whole documents with their near words' number, form and root."""
+    from tablediff.llm.spelling import spelling_variants, vocabulary
+
+    return spelling_variants(vocabulary(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every whole document, with the corpus-wide counts of linked ids."""
+    from tablediff.llm.alignment import NEW, align
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align(docs, "byte_bpe_50k.json", "piece_bpe_32k.model", keep_text=False).select("doc_id", *NEW)
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of every whole document stand in windows of benchmark items, by suffix arrays over the documents."""
     from tablediff.llm.decontaminate import contamination_digest
@@ -135,6 +150,8 @@ QUERIES = {
         op8_license_scans,
         op9_best_fit_packing,
         op10_exact_topk_search,
+        op11_spelling_variants,
+        op12_tokenizer_alignment,
         op13_decontaminate,
     )
 }
