@@ -3,9 +3,12 @@
 * Bigrams are ordered by how many places of the vocabulary hold them, the rarest first. A word's prefix are its three
   first bigrams in that order, with all others that are equal to the third. Its pivots are two bigrams of the three
   rarest that share no character; of the possible pairs a dynamic program over the places takes the rarest.
-* One edit can't touch both pivots of a word. So of two words that are one edit apart, the one whose prefix ends first
-  has a pivot among the other one's prefix, at most one place apart: pivots are joined with prefixes on bigram, place
-  and length. Pairs are verified inside the join; only near ones leave it.
+* One edit can't touch both pivots of a word. Of two words that are one edit apart, take the one whose prefix ends
+  first. Either its left pivot and all before it are as they were, and the edit is further right; or its right pivot
+  and all after it are. An untouched pivot is in the other word's prefix. So the place of a pivot is limited to the same
+  distance from the start, or from the end, and what lies between must be equal: the left pivot asks for prefix bigrams
+  with the same beginning of the word, the right one for those with the same rest. That is an equal-key join; pairs are
+  verified inside it by length, set of letters and edit distance, and only near ones leave it.
 
 Nothing is taken for near without the exact distance, and nothing near is missed.
 """
@@ -73,6 +76,20 @@ def _pivots(rare: Column) -> Column:
     return F.aggregate(in_place, start, step, lambda s: F.array(s["pair"]["p"], s["pair"]["q"]))
 
 
+def _letters(word: Column) -> Column:
+    """A bit for each code point modulo 64 that the word has: one edit changes two of them at most."""
+
+    def add(bits: Column, c: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)).cast("int"))
+        return bits.bitwiseOR(bit)
+
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), add)
+
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: prefix + c for c in df.columns})
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """Rows (word, other), both ways, of the different words of ``words`` (column word) that are one edit apart.
 
@@ -92,25 +109,27 @@ def near_pairs(words: DataFrame) -> DataFrame:
         ordered.select(
             "word",
             F.length("word").alias("size"),
+            _letters(F.col("word")).alias("letters"),
             once(F.col("grams"), prefix).alias("prefix"),
             _pivots(F.slice("grams", 1, PREFIX)).alias("pivots"),
         ),
         at + "/indexed",
     )
-    held = indexed.select("size", F.col("word").alias("other"), F.explode("prefix").alias("g")).select(
-        "other", "size", F.col("g.gram").alias("gram"), F.col("g.at").alias("at")
-    )
-    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
-    asked = indexed.select("word", "size", F.explode("pivots").alias("g")).select("word", "size", "g.gram", "g.at")
-    asked = asked.select("word", near("size"), "gram", "at").select("word", "size", "gram", near("at"))
+    up_to = lambda g: F.xxhash64(F.lit(0), F.substring(F.col("word"), F.lit(1), g["at"] + 1))
+    since = lambda g: F.xxhash64(F.lit(1), F.substring(F.col("word"), g["at"], F.col("size")))
+    own = ("word", "size", "letters")
+    both = F.flatten(F.transform("prefix", lambda g: F.array(up_to(g), since(g))))
+    held = _prefixed(indexed.select(*own, F.explode(F.array_distinct(both)).alias("key")), "h_")
+    ends = F.array(up_to(F.col("pivots")[0]), since(F.col("pivots")[1]))
+    asked = _prefixed(indexed.select(*own, F.explode(ends).alias("key")), "a_")
     met = asked.join(
         held,
-        (asked["gram"] == held["gram"])
-        & (asked["at"] == held["at"])
-        & (asked["size"] == held["size"])
-        & (asked["word"] != held["other"])
-        & (F.levenshtein(asked["word"], held["other"], 1) == 1),
-    ).select("word", "other")
+        (F.col("a_key") == F.col("h_key"))
+        & (F.abs(F.col("a_size") - F.col("h_size")) <= 1)
+        & (F.bit_count(F.col("a_letters").bitwiseXOR(F.col("h_letters"))) <= 2)
+        & (F.col("a_word") != F.col("h_word"))
+        & (F.levenshtein("a_word", "h_word", 1) == 1),
+    ).select(F.col("a_word").alias("word"), F.col("h_word").alias("other"))
     return met.union(met.select(F.col("other").alias("word"), F.col("word").alias("other"))).distinct()
 
 
