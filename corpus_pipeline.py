@@ -1,13 +1,14 @@
 """From raw documents to packed training sequences: each stage applies one operator to all rows that the last one kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet and reads it again
-for the next stage. All but the last return the columns of ``documents``. Nulls in any column, empty tables, repeated
-rows and further columns are handled as the operators' docstrings say.
+for the next stage. All but the last return the columns of ``documents``: an operator sees only the columns that it
+needs, all others travel as one column beside them, so whatever their names are they come out as they went in. Nulls in
+any column, empty tables and repeated rows are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablediff.llm.chosen_path import one_of_each
@@ -19,6 +20,21 @@ from tablediff.llm.queries import tokenizer_path
 from tablediff.llm.suffix_dedup import suffix_dedup
 
 
+def _apart(docs: DataFrame, *used: str) -> DataFrame:
+    """The ``used`` columns of ``docs``, and all others as the struct ``given``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(F.lit(0).alias("none") if not others else others[0], *others[1:]).alias("given"))
+
+
+def _together(done: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs``, the ``used`` ones as ``done`` has them."""
+
+    def column(c: str) -> Column:
+        return F.col(c) if c in used else F.col("given").getField(c).alias(c)
+
+    return done.select(*[column(c) for c in docs.columns])
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``docs`` with n_chars, if it is there, as the text now is."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -26,22 +42,23 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    used = ("lang", "source", "text")
+    return _together(quality_rules(_apart(docs, *used)).where("kept"), docs, *used)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return one_of_each(docs)
+    return _together(one_of_each(_apart(docs, "doc_id", "text")), docs, "doc_id", "text")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand anywhere else too."""
-    return _counted(suffix_dedup(docs)).select(*docs.columns)
+    return _counted(_together(suffix_dedup(_apart(docs, "doc_id", "text")), docs, "doc_id", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data generalised."""
-    return _counted(sanitise(find_pii(docs))).select(*docs.columns)
+    return _counted(_together(sanitise(find_pii(_apart(docs, "text"))), docs, "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

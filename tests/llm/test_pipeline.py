@@ -1,6 +1,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 from rows import DDL, empty, rows
 from test_dedup import brute_cut, near_rows
 
@@ -36,6 +37,21 @@ def test_stages_in_turn(spark, source):
     assert {r["doc_id"] for r in packed} == left
 
 
+CLASHING = ("kept", "found", "distance", "n_words", "base_failed", "given", "__k1", "__terms", "n_links", "n_dup_lines", "k1")
+
+
+def test_clashing_columns_come_out_unchanged(spark, source):
+    docs = spark.read.parquet(source + "/documents.parquet").drop("kept", "score")
+    docs = docs.withColumns({c: F.concat(F.lit(c + " "), F.col("doc_id").cast("string")) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, source)
+        assert out.dtypes == docs.dtypes, name
+        got = out.select("doc_id", *CLASHING).collect()
+        assert got
+        for r in got:
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c} {r['doc_id']}") for c in CLASHING), name
+
+
 def test_run_gives_the_last_stage(spark, source):
     out = corpus_pipeline.run(spark, source).collect()
     assert out and set(out[0].asDict()) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
