@@ -6,9 +6,10 @@
 * One edit can't touch both pivots of a word. Of two words that are one edit apart, take the one whose prefix ends
   first. Either its left pivot and all before it are as they were, and the edit is further right; or its right pivot
   and all after it are. An untouched pivot is in the other word's prefix. So the place of a pivot is limited to the same
-  distance from the start, or from the end, and what lies between must be equal: the left pivot asks for prefix bigrams
-  with the same beginning of the word, the right one for those with the same rest. That is an equal-key join; pairs are
-  verified inside it by length, set of letters and edit distance, and only near ones leave it.
+  distance from the start, or from the end, and what lies between must be equal. Of the rest of the word, which has the
+  edit, one half is untouched too. Each pivot therefore asks twice: with the beginning of the word up to it (or the end
+  from it on) and the nearer half of the rest, and with the same and the farther half. A prefix bigram answers for the
+  lengths that the asking word may have. That is an equal-key join; pairs are verified inside it.
 
 Nothing is taken for near without the exact distance, and nothing near is missed.
 """
@@ -26,6 +27,8 @@ MIN_COUNT = 2
 DROP = 31
 FACTOR = 10
 PREFIX = 3
+# Counts of so many different bigrams at most are broadcast (2 MB); more are joined.
+SMALL_GRAMS = 1 << 16
 
 
 def vocabulary(
@@ -76,18 +79,23 @@ def _pivots(rare: Column) -> Column:
     return F.aggregate(in_place, start, step, lambda s: F.array(s["pair"]["p"], s["pair"]["q"]))
 
 
-def _letters(word: Column) -> Column:
-    """A bit for each code point modulo 64 that the word has: one edit changes two of them at most."""
+def _of_left(word: Column, size: Column, at: Column, rest: Column) -> list[Column]:
+    """The keys of a bigram whose word has its edit further right, in a rest of ``rest`` characters; null where the word
+    is too short for it."""
+    head, half = at + 1, F.floor(rest / 2).cast("int")
+    far = rest - half
+    near_key = F.xxhash64(F.lit(0), at, F.substring(word, F.lit(1), head + half))
+    far_key = F.xxhash64(F.lit(1), at, F.substring(word, F.lit(1), head), F.substring(word, size - far + 1, far))
+    return [F.when((rest >= 0) & (head + half <= size), near_key), F.when((rest >= 0) & (head + far <= size), far_key)]
 
-    def add(bits: Column, c: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)).cast("int"))
-        return bits.bitwiseOR(bit)
 
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), add)
-
-
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({c: prefix + c for c in df.columns})
+def _of_right(word: Column, size: Column, at: Column, rest: Column) -> list[Column]:
+    """The same for an edit further left: the end of the word from the bigram on takes the place of its beginning."""
+    tail, half = size - at + 1, F.floor(rest / 2).cast("int")
+    far = rest - half
+    near_key = F.xxhash64(F.lit(2), tail, F.substring(word, size - tail - half + 1, tail + half))
+    far_key = F.xxhash64(F.lit(3), tail, F.substring(word, at, tail), F.substring(word, F.lit(1), far))
+    return [F.when((rest >= 0) & (tail + half <= size), near_key), F.when((rest >= 0) & (tail + far <= size), far_key)]
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -98,7 +106,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     at = shared_dir(spark)
     grams = words.select("word", F.explode(_bigrams(F.col("word"))).alias("g")).select("word", "g.gram", "g.at")
-    weighed = grams.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("f")), "gram")
+    counts = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("f")), at + "/grams")
+    few = counts.limit(SMALL_GRAMS + 1).count() <= SMALL_GRAMS
+    weighed = grams.join(F.broadcast(counts) if few else counts, "gram")
     ordered = weighed.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("f", "gram", "at"))).alias("grams"))
 
     def prefix(g: Column) -> Column:
@@ -109,28 +119,23 @@ def near_pairs(words: DataFrame) -> DataFrame:
         ordered.select(
             "word",
             F.length("word").alias("size"),
-            _letters(F.col("word")).alias("letters"),
             once(F.col("grams"), prefix).alias("prefix"),
             _pivots(F.slice("grams", 1, PREFIX)).alias("pivots"),
         ),
         at + "/indexed",
     )
-    up_to = lambda g: F.xxhash64(F.lit(0), F.substring(F.col("word"), F.lit(1), g["at"] + 1))
-    since = lambda g: F.xxhash64(F.lit(1), F.substring(F.col("word"), g["at"], F.col("size")))
-    own = ("word", "size", "letters")
-    both = F.flatten(F.transform("prefix", lambda g: F.array(up_to(g), since(g))))
-    held = _prefixed(indexed.select(*own, F.explode(F.array_distinct(both)).alias("key")), "h_")
-    ends = F.array(up_to(F.col("pivots")[0]), since(F.col("pivots")[1]))
-    asked = _prefixed(indexed.select(*own, F.explode(ends).alias("key")), "a_")
-    met = asked.join(
-        held,
-        (F.col("a_key") == F.col("h_key"))
-        & (F.abs(F.col("a_size") - F.col("h_size")) <= 1)
-        & (F.bit_count(F.col("a_letters").bitwiseXOR(F.col("h_letters"))) <= 2)
-        & (F.col("a_word") != F.col("h_word"))
-        & (F.levenshtein("a_word", "h_word", 1) == 1),
-    ).select(F.col("a_word").alias("word"), F.col("h_word").alias("other"))
-    return met.union(met.select(F.col("other").alias("word"), F.col("word").alias("other"))).distinct()
+    word, size, g = F.col("word"), F.col("size"), F.col("g.at")
+    right, left = size - g - 1, g - 1  # what lies on either side of a bigram
+    answers = [k for d in (-1, 0, 1) for k in (*_of_left(word, size, g, right + d), *_of_right(word, size, g, left + d))]
+    held = indexed.select("word", "size", F.explode("prefix").alias("g"))
+    held = held.select(F.col("word").alias("other"), F.explode(F.array_distinct(F.array_compact(F.array(*answers)))).alias("key"))
+    p, q = F.col("pivots")[0]["at"], F.col("pivots")[1]["at"]
+    asks = F.array(*_of_left(word, size, p, size - p - 1), *_of_right(word, size, q, q - 1))
+    asked = indexed.select("word", F.explode(asks).alias("asked"))
+    near = (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)
+    met = asked.join(held, (F.col("asked") == F.col("key")) & near).select("word", "other")
+    ways = F.array(F.struct("word", "other"), F.struct(F.col("other").alias("word"), F.col("word").alias("other")))
+    return met.select(F.inline(ways)).distinct()
 
 
 def _roots(forms: DataFrame, at: str) -> DataFrame:
