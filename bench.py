@@ -29,13 +29,18 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16, app_name="tablediff-bench")
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    # Each driver table is one row group, hence one task: its rows are dealt out as ``Location.deal_out`` does (0: not).
+    deal = int(os.environ.get("BENCH_DEAL", cpus if cpus.isdigit() else "8"))
+
+    def dealt(pair):
+        return tuple(df.repartition(deal) if deal else df for df in pair)
 
     def orders():
-        cand, base = fx.orders_pair(spark, sf_dir)
+        cand, base = dealt(fx.orders_pair(spark, sf_dir))
         return cand, base, column_sets(cand.schema, fx.ORDERS_KEYS, (), fx.ORDERS_TOLERANCES)
 
     def lineitem():
-        cand, base = fx.lineitem_pair(spark, sf_dir)
+        cand, base = dealt(fx.lineitem_pair(spark, sf_dir))
         return cand, base, column_sets(cand.schema, ())
 
     def q_aggregate_check():
@@ -61,14 +66,14 @@ def main():
         return rd.keyless_summary(rd.keyless_counts(cand, base, cs.fingerprint_columns)).collect()
 
     def q_lineitem_keyed_duplicates():
-        cand, base = fx.lineitem_pair(spark, sf_dir)
+        cand, base = dealt(fx.lineitem_pair(spark, sf_dir))
         cs = column_sets(cand.schema, ("l_orderkey", "l_linenumber"))
         return rd.diff_counts(rd.per_key(cand, base, cs.key_columns, cs.fingerprint_columns)).collect()
 
     def q_compare_orders():
         cand, base = fx.orders_pair(spark, sf_dir)
         spec = ComparisonSpec(
-            "orders", Location.of(cand), Location.of(base), kind="frame", key_columns=fx.ORDERS_KEYS,
+            "orders", Location.of(cand, deal or None), Location.of(base, deal or None), kind="frame", key_columns=fx.ORDERS_KEYS,
             tolerances=fx.ORDERS_TOLERANCES, full_refresh=True,
         )
         r = compare(spark, spec)

@@ -72,7 +72,8 @@ def run(args, spark: SparkSession | None = None) -> int:
         Environment(root=args.baseline_root, jdbc=links.get("baseline")),
     )
     try:
-        record = compare_all(spark, pipeline, specs, rng=rng, sample_size=args.sample_size, envs=envs, results_root=args.results_root)
+        record = compare_all(spark, pipeline, specs, rng=rng, sample_size=args.sample_size, envs=envs, results_root=args.results_root,
+                             time_limit_seconds=args.time_limit)
     except ValueError as e:
         print(json.dumps({"refused": str(e)}))
         return REFUSED
@@ -92,6 +93,14 @@ def history(args, spark: SparkSession | None = None) -> int:
     return 0
 
 
+def show(args, spark: SparkSession | None = None) -> int:
+    from .plans.history import run_record
+
+    record = run_record(spark or _session(), args.results_root, args.pipeline, args.run_id, args.as_of, args.stale_after)
+    print(json.dumps(record, default=str))
+    return 0 if record is not None else REFUSED
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tablediff")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -101,6 +110,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p_run.add_argument("--baseline-root", default=None)
     p_run.add_argument("--results-root", default=None)
     p_run.add_argument("--sample-size", type=int, default=100)
+    p_run.add_argument("--time-limit", type=float, default=None, help="seconds that one dataset may take; beyond them it is ERROR")
     p_hist = sub.add_parser("history", help="list a pipeline's runs, most recent first")
     p_hist.add_argument("--results-root", required=True)
     p_hist.add_argument("--pipeline", required=True)
@@ -109,8 +119,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p_hist.add_argument("--limit", type=int, default=50)
     p_hist.add_argument("--as-of", default=None, help="re-label runs whose heartbeat stopped, as of this instant")
     p_hist.add_argument("--stale-after", type=float, default=None, help="seconds without heartbeat before a run is abandoned")
+    p_show = sub.add_parser("show", help="one run's record, as of an instant")
+    p_show.add_argument("--results-root", required=True)
+    p_show.add_argument("--pipeline", required=True)
+    p_show.add_argument("--run-id", required=True)
+    p_show.add_argument("--as-of", required=True)
+    p_show.add_argument("--stale-after", type=float, default=300.0)
     args = parser.parse_args(argv)
-    return run(args, spark) if args.command == "run" else history(args, spark)
+    return {"run": run, "history": history, "show": show}[args.command](args, spark)
 
 
 if __name__ == "__main__":

@@ -29,16 +29,17 @@ MAX_REPEAT_PERCENT = 30
 # The statistic vector: 64 steps of the grid for each unit of the natural logarithm.
 GRID = 64
 DIMS = ("word_length", "symbols", "repeated_lines", "repeated_words")
-# Added to each variance, in units of the logarithm.
-RIDGE = (0.15, 0.6, 0.9, 0.9)
+# The least standard deviation of each, in units of the logarithm. Alone, a coordinate rejects from 4.3 of them on: words
+# 1.9 times as long as usual, 12 symbols in 100 characters, 8 repeated lines or 12 repeated words in 100 words.
+FLOOR = (0.15, 0.6, 0.5, 0.6)
 CORE = 0.5
 # Where the starts have their centres.
 CENTRES = (0.5, 0.25, 0.75)
 MIN_ROWS = 200
-# Under a normal distribution in four dimensions: the core's covariance is too small by this factor, and squared
-# distances beyond the limit are rarer than one in nine million.
-CORE_FACTOR = 2.11
-LIMIT = 38.0
+# Under a normal distribution in four dimensions: REWEIGHT and LIMIT are the 0.975 and 0.999 quantiles of the squared
+# distance; the covariances of the nearest half, and of all rows within REWEIGHT, are too small by these factors.
+REWEIGHT, LIMIT = 11.143, 18.467
+CORE_FACTOR, REWEIGHT_FACTOR = 2.109, 1.0645
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -151,7 +152,7 @@ def _with_distance(cells: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def _starts(cells: DataFrame) -> DataFrame:
-    """Quantiles and median absolute deviation of each coordinate, per group; the last start has the ridge for its spread."""
+    """Quantiles and median absolute deviation of each coordinate, per group; the last start has the floor for its spread."""
     at = lambda c, q: F.expr(f"percentile({c}, {q}, n)")  # noqa: E731  the grid bounds the number of different values
     k = len(DIMS)
     centres = [at(d, q).alias(f"c{s}{i}") for s, q in enumerate(CENTRES) for i, d in enumerate(DIMS)]
@@ -166,7 +167,7 @@ def _starts(cells: DataFrame) -> DataFrame:
         fields = [F.lit(number).alias("start"), *[F.col(f"c{0 if plain else number}{i}").alias(f"m{i}") for i in range(k)]]
         for i in range(k):
             own = F.lit(0.0) if plain else 1.4826 * F.col(f"s{i}")
-            sd = F.sqrt(F.pow(own, 2) + (RIDGE[i] * GRID) ** 2)
+            sd = F.sqrt(F.pow(own, 2) + (FLOOR[i] * GRID) ** 2)
             fields += [(1 / sd if i == j else F.lit(0.0)).alias(f"w{i}{j}") for j in range(i + 1)]
         return F.struct(*fields)
 
@@ -180,26 +181,31 @@ def _concentrate(cells: DataFrame, estimates: DataFrame) -> DataFrame:
     Distances are compared on a scale of sixteen steps for each doubling, so that the core's limit is exact and needs a
     bounded number of values per start.
     """
-    k = len(DIMS)
     ranked = _with_distance(cells, estimates).withColumn("step", F.floor(16 * F.log2(1 + F.col("d2"))))
     limit = ranked.groupBy("grp", "start").agg(F.expr(f"percentile(step, {CORE}, n)").alias("limit"))
     core = ranked.join(limit, ["grp", "start"]).where(F.col("step") <= F.col("limit"))
+    return _estimates(core, ["grp", "start"], CORE_FACTOR)
+
+
+def _estimates(core: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """Mean and weights (the inverse of the covariance's Cholesky factor) of the cells of ``core``."""
+    k = len(DIMS)
     n = F.col("n")
     sums = [F.sum(n).cast("double").alias("n")]
     sums += [F.sum(n * F.col(DIMS[i])).cast("double").alias(f"s{i}") for i in range(k)]
     sums += [
         F.sum(n * F.col(DIMS[i]) * F.col(DIMS[j])).cast("double").alias(f"s{i}{j}") for i in range(k) for j in range(i + 1)
     ]
-    out = core.groupBy("grp", "start").agg(*sums)
+    out = core.groupBy(*by).agg(*sums)
     out = out.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(k)})
     # Covariance, its Cholesky factor L, and W = L^-1, entry by entry.
     for i in range(k):
         for j in range(i + 1):
-            c = CORE_FACTOR * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
-            c = c + (RIDGE[i] * GRID) ** 2 if i == j else c
+            c = factor * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
+            c = c + (FLOOR[i] * GRID) ** 2 if i == j else c
             for r in range(j):
                 c = c - F.col(f"l{i}{r}") * F.col(f"l{j}{r}")
-            least = (RIDGE[i] * GRID) ** 2 / 4  # rounding can't make a variance vanish
+            least = (FLOOR[i] * GRID) ** 2 / 4  # rounding can't make a variance vanish
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(least))) if i == j else c / F.col(f"l{j}{j}"))
     for i in range(k):
         for j in range(i + 1):
@@ -208,7 +214,7 @@ def _concentrate(cells: DataFrame, estimates: DataFrame) -> DataFrame:
             else:
                 w = -sum((F.col(f"l{i}{r}") * F.col(f"w{r}{j}") for r in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}")
             out = out.withColumn(f"w{i}{j}", w)
-    return out.select("grp", "start", *_estimate_columns())
+    return out.select(*by, *_estimate_columns())
 
 
 def _log_det() -> Column:
@@ -245,7 +251,8 @@ def judge(
 
     ``measured`` is read more than once and should be a written table. kept is false where base_failed is true, else
     whether the squared distance from the group's estimate is at most ``limit``; distance is null where base_failed is
-    true. Estimates are made of the rows that did not fail. Null languages and sources are groups like others.
+    true. Estimates are made of the rows that did not fail, repeated rows counting each. Null languages and sources are
+    groups like others. An empty table, or one where all rows failed, needs no estimate.
     """
     spark = measured.sparkSession
     at = shared_dir(spark)
@@ -256,7 +263,9 @@ def judge(
     own = written(own, at + "/own")
     named = own.select(F.explode(F.array("g0", "g1", "g2")).alias("grp"), *DIMS, "n")
     cells = written(named.groupBy("grp", *DIMS).agg(F.sum("n").alias("n")), at + "/cells")
-    estimates = written(_converged(cells, at), at + "/estimates")
+    nearest = written(_converged(cells, at), at + "/nearest")
+    usual = _with_distance(cells, nearest).where(F.col("d2") <= REWEIGHT)
+    estimates = written(_estimates(usual, ["grp"], REWEIGHT_FACTOR), at + "/estimates")
     sizes = cells.groupBy("grp").agg(F.sum("n").alias("rows"))
     known = estimates.join(sizes, "grp").select("grp", "rows", F.struct(*_estimate_columns()).alias("e"))
     chosen = own.select("g0", "g1", "g2").distinct()
@@ -287,6 +296,10 @@ def judge(
 
 
 def quality_rules(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``measure`` and ``judge``: all rows and columns of ``docs`` with the measures, distance and kept."""
+    """``measure`` and ``judge``: all rows and columns of ``docs`` with the measures, distance and kept.
+
+    Null texts have no words and fail the base rule. Repeated rows stay; an empty table gives an empty table; very long
+    texts are rows like others.
+    """
     measured = written(measure(docs, text_col), shared_dir(docs.sparkSession) + "/measured")
     return judge(measured, lang_col, source_col)

@@ -8,11 +8,13 @@ outcome.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import canonical, checksum_limbs, col, fingerprint, from_limbs, limbs
+from ..functions.canonical import LIMB_BITS, canonical, checksum_limbs, col, fingerprint, from_limbs, limbs
 from ..functions.types import ColumnInfo, is_floating, is_integral
 from .columns import ColumnSets
 
@@ -34,48 +36,102 @@ def _unscaled(c: ColumnInfo) -> Column:
     return col(c.name).cast("bigint")
 
 
-def _sum_partials(c: ColumnInfo, i: int) -> list[Column]:
-    """Aggregate expressions whose results :func:`_sum_final` turns into the column's exact sum.
+# --- exact sums of IEEE columns -----------------------------------------------------------------------------------
+#
+# A finite value is a whole multiple of a power of two. Values whose magnitudes lie in one band of 64 binary orders
+# share that power, so within a band they are added as integers: nothing is rounded, whatever the order of the rows.
+# The bands of a row's IEEE columns are grouping keys of the first aggregate, which is still one pass with a map-side
+# step; band 0 takes 2^-20 to 2^44 (and zeros and NULLs), so a table of amounts has one group.
 
-    Integers (and short decimals, by their unscaled value) are summed as 21-bit limbs in longs; long decimals keep
-    Spark's decimal sum. IEEE floats are summed as whole multiples of a power of two (see :func:`_steps`), so their sum
-    does not depend on the order of the rows; NaN and infinities, if any, are the sum.
-    """
-    if _limbed(c):
-        return [F.sum(part).alias(f"_s{i}_{j}") for j, part in enumerate(limbs(_unscaled(c)))]
-    if is_floating(c.data_type):
-        x = col(c.name).cast("double")
-        steps = F.when(_finite(x), (x / col(f"_q{i}")).cast("bigint"))
-        return [F.sum(part).alias(f"_s{i}_{j}") for j, part in enumerate(limbs(steps))] + [
-            F.sum(F.when(~_finite(x), x)).alias(f"_odd{i}"),
-            F.max(f"_q{i}").alias(f"_step{i}"),
-        ]
-    return [F.sum(col(c.name)).alias(f"_s{i}_0")]
+BAND = 64
+BAND_START = -20
+LOWEST_BAND, HIGHEST_BAND = -17, 16
+PIECE_BITS = 42
+FLOAT_LIMBS = 6
 
 
 def _finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def _steps(df: DataFrame, cs: ColumnSets) -> DataFrame:
-    """``df`` with ``_q<i>`` for each IEEE column that is summed: the power of two that its values are counted in.
+def _power(base: int, band: Column) -> list[Column]:
+    """Two factors whose product is 2^(base - BAND * band): one alone could leave the range of a double."""
+    bands = range(LOWEST_BAND, HIGHEST_BAND + 1)
+    exponents = [base - BAND * b for b in bands]
+    halves = ([e // 2 for e in exponents], [e - e // 2 for e in exponents])
+    return [F.get(F.array(*[F.lit(2.0**e) for e in part]), band - LOWEST_BAND) for part in halves]
 
-    It is 2^-61 of the largest magnitude at most, so a value is a long and what rounding leaves out of a sum of n
-    values is below n 2^-61 of that magnitude. The largest magnitude is a scalar subquery: one more pass over these columns.
-    """
-    floats = [(i, c) for i, c in enumerate(cs.sum_columns) if is_floating(c.data_type)]
-    if not floats:
-        return df
-    top = []
-    for i, c in floats:
-        x = col(c.name).cast("double")
-        top.append(F.max(F.when(_finite(x) & (x != 0), F.abs(x))).alias(f"_m{i}"))
-    largest = df.agg(*top)
-    steps = {}
+
+# Magnitudes of a band are whole multiples of 2^(BAND * band - UNIT): 52 bits below its start, one more since the
+# logarithm may be off by one at a power of two.
+UNIT = 53 - BAND_START
+
+
+def _with_bands(df: DataFrame, floats: list[tuple[int, ColumnInfo]]) -> DataFrame:
+    """``df`` with, for each IEEE column i, its band ``_e<i>`` and its value in the band's unit as three whole pieces
+    ``_p<i>_0`` to ``_p<i>_2`` of PIECE_BITS bits; ``_x<i>`` is the value itself where it is not finite."""
+    names = {i: f"_v{i}" for i, _ in floats}
+    df = df.withColumns({names[i]: col(c.name).cast("double") for i, c in floats})
+    bands = {}
+    for i, _ in floats:
+        x = col(names[i])
+        order = F.floor(F.log2(F.when(_finite(x) & (x != 0), F.abs(x)).otherwise(F.lit(1.0))))
+        bands[f"_e{i}"] = F.floor((order - BAND_START) / BAND).cast("int")
+    df = df.withColumns(bands)
+    whole, pieces = {}, {}
     for i, _ in floats:
-        magnitude = largest.select(F.coalesce(f"_m{i}", F.lit(1.0))).scalar()
-        steps[f"_q{i}"] = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(magnitude)) - 60, F.lit(-1022)))
-    return df.withColumns(steps)
+        x, up = col(names[i]), _power(UNIT, col(f"_e{i}"))
+        whole[f"_w{i}"] = F.when(_finite(x), F.abs(x) * up[0] * up[1])
+        whole[f"_x{i}"] = F.when(~_finite(x), x)
+    df = df.withColumns(whole)
+    high, middle = 2.0 ** (2 * PIECE_BITS), 2.0**PIECE_BITS
+    for i, _ in floats:
+        sign = F.when(col(names[i]) < 0, F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
+        w = col(f"_w{i}")
+        top = F.floor(w / high)
+        rest = w - top * high
+        mid = F.floor(rest / middle)
+        parts = (rest - mid * middle, mid, top)
+        pieces |= {f"_p{i}_{j}": sign * part.cast("bigint") for j, part in enumerate(parts)}
+    return df.withColumns(pieces)
+
+
+def _float_limbs(i: int) -> list[Column]:
+    """The pieces as 21-bit limbs, lowest first: their sums fit longs below 2^42 rows."""
+    out = []
+    for j in range(3):
+        low, high, _ = limbs(F.abs(col(f"_p{i}_{j}")))
+        sign = F.signum(col(f"_p{i}_{j}")).cast("bigint")
+        out += [sign * low, sign * high]
+    return out
+
+
+def _float_total(bands: Column) -> Column:
+    """The sum of an IEEE column from its bands' limb sums (array of e, l0..l5, each band once), in a fixed order."""
+
+    def of_band(b: Column) -> Column:
+        low, high = (from_limbs([b[f"l{3 * h + j}"] for j in range(3)]) for h in (0, 1))
+        unit = F.lit(Decimal(1 << (3 * LIMB_BITS))).cast("decimal(38,0)")
+        carry = ((low - F.pmod(low, unit)) / unit).cast("decimal(38,0)")
+        back = _power(UNIT, b["e"])
+        whole = (high + carry).cast("double") * 2.0 ** (3 * LIMB_BITS) + F.pmod(low, unit).cast("double")
+        return whole / back[0] / back[1]
+
+    ordered = F.transform(F.reverse(F.array_sort(bands)), of_band)
+    return F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x)
+
+
+# --- aggregates of a side -----------------------------------------------------------------------------------------
+
+
+def _sum_partials(c: ColumnInfo, i: int) -> list[tuple[str, str, Column]]:
+    """What is summed for a column besides the bands of an IEEE one: integers (and short decimals, by their unscaled
+    value) as 21-bit limbs in longs, long decimals themselves, of an IEEE column NaN and the infinities."""
+    if _limbed(c):
+        return [(f"_s{i}_{j}", "sum", part) for j, part in enumerate(limbs(_unscaled(c)))]
+    if is_floating(c.data_type):
+        return [(f"_odd{i}", "sum", col(f"_x{i}")), (f"_some{i}", "count", col(c.name))]
+    return [(f"_s{i}_0", "sum", col(c.name))]
 
 
 def _sum_final(c: ColumnInfo, i: int) -> Column:
@@ -87,9 +143,12 @@ def _sum_final(c: ColumnInfo, i: int) -> Column:
             total = F.concat(total.cast("string"), F.lit(f"E-{t.scale}")).cast(T.DecimalType(38, t.scale))
         return total
     if is_floating(c.data_type):
-        total = from_limbs([col(f"_s{i}_{j}") for j in range(3)]).cast("double") * col(f"_step{i}")
-        return F.coalesce(col(f"_odd{i}"), total)
-    return col(f"_s{i}_0")
+        own = F.transform(
+            F.filter("_bands", lambda b: b["i"] == i),
+            lambda b: F.struct(b["e"].alias("e"), *[b[f"l{j}"].alias(f"l{j}") for j in range(FLOAT_LIMBS)]),
+        )
+        return F.coalesce(col(f"_odd{i}"), F.when(col(f"_some{i}") > 0, _float_total(own)))
+    return col(f"_s{i}_0").cast(T.DecimalType(38, c.data_type.scale))
 
 
 def sum_name(c: ColumnInfo) -> str:
@@ -108,23 +167,86 @@ def max_name(c: ColumnInfo) -> str:
     return f"max__{c.name}"
 
 
-def aggregate_exprs(cs: ColumnSets) -> list[Column]:
-    """Partial aggregate expressions; :func:`final_exprs` gives the reported values from their results."""
-    exprs = [F.count(F.lit(1)).alias("row_count")]
+def _partials(cs: ColumnSets) -> list[tuple[str, str, Column]]:
+    """(name, how its values of several groups combine, input) of everything a side is aggregated to."""
+    out = [("row_count", "count", F.lit(1))]
     for i, c in enumerate(cs.sum_columns):
-        exprs += _sum_partials(c, i)
-    exprs += [F.count(col(c.name)).alias(nonnull_name(c)) for c in cs.null_columns]
+        out += _sum_partials(c, i)
+    out += [(nonnull_name(c), "count", col(c.name)) for c in cs.null_columns]
     for c in cs.tolerance_columns:
-        exprs += [F.min(col(c.name)).alias(min_name(c)), F.max(col(c.name)).alias(max_name(c))]
+        out += [(min_name(c), "min", col(c.name)), (max_name(c), "max", col(c.name))]
     if cs.fingerprint_columns:
-        exprs += [F.sum(part).alias(f"_ck_{j}") for j, part in enumerate(checksum_limbs(fingerprint(cs.fingerprint_columns)))]
-    return exprs
+        out += [(f"_ck_{j}", "sum", part) for j, part in enumerate(checksum_limbs(col("_fp")))]
+    return out
+
+
+_OF_ROWS = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+_OF_GROUPS = {**_OF_ROWS, "count": F.sum}
+
+
+def _combined(cs: ColumnSets, made: bool) -> list[Column]:
+    """The aggregates of ``_partials``, of the rows or (``made``) of groups that are aggregated already."""
+    if made:
+        return [_OF_GROUPS[how](col(name)).alias(name) for name, how, _ in _partials(cs)]
+    return [_OF_ROWS[how](part).alias(name) for name, how, part in _partials(cs)]
+
+
+def partial_rows(df: DataFrame, cs: ColumnSets, by: list[Column] | None = None) -> DataFrame:
+    """One row per group of ``by`` (one row at all without it): ``_partials`` and, with IEEE columns, ``_bands``, an
+    array of (i, e, l0..l5) with the limb sums of each column's bands. ``df`` is read once."""
+    by = by or []
+    names = [f"_g{k}" for k in range(len(by))]
+    fp = [fingerprint(cs.fingerprint_columns).alias("_fp")] if cs.fingerprint_columns else []
+    rows = df.select(*[c.alias(n) for n, c in zip(names, by, strict=True)], *[col(c.name) for c in cs.compared], *fp)
+    floats = [(i, c) for i, c in enumerate(cs.sum_columns) if is_floating(c.data_type)]
+    if not floats:
+        return rows.groupBy(*names).agg(*_combined(cs, False))
+    banded = _with_bands(rows, floats)
+    sums = [F.sum(x).alias(f"_l{i}_{j}") for i, _ in floats for j, x in enumerate(_float_limbs(i))]
+    groups = banded.groupBy(*names, *[f"_e{i}" for i, _ in floats]).agg(*_combined(cs, False), *sums)
+
+    # The groups are few. Their rows are dealt out as one with the partials and one per IEEE column and band.
+    own = [name for name, _, _ in _partials(cs)]
+
+    def part(i: int | None) -> Column:
+        fields = [F.lit(-1 if i is None else i).alias("i"), (F.lit(0) if i is None else col(f"_e{i}")).alias("e")]
+        fields += [(F.lit(None).cast("bigint") if i is None else col(f"_l{i}_{j}")).alias(f"l{j}") for j in range(FLOAT_LIMBS)]
+        fields += [(col(n) if i is None else F.lit(None).cast(groups.schema[n].dataType)).alias(n) for n in own]
+        return F.struct(*fields)
+
+    dealt = groups.select(*names, F.explode(F.array(part(None), *[part(i) for i, _ in floats])).alias("p")).select(*names, "p.*")
+    limb_sums = [F.coalesce(F.sum(f"l{j}"), F.lit(0).cast("bigint")).alias(f"l{j}") for j in range(FLOAT_LIMBS)]
+    once = dealt.groupBy(*names, "i", "e").agg(*limb_sums, *_combined(cs, True))
+    band = F.struct("i", "e", *[f"l{j}" for j in range(FLOAT_LIMBS)])
+    # One row of each group has the partials: whichever aggregate leaves its values as they are.
+    kept = [F.max(col(n)).alias(n) for n in own]
+    return once.groupBy(*names).agg(*kept, F.collect_list(F.when(col("i") >= 0, band)).alias("_bands"))
+
+
+def rolled_up(parts: DataFrame, cs: ColumnSets) -> DataFrame:
+    """The partial rows of several groups, a bounded number, as one row."""
+    if "_bands" not in parts.columns:
+        return parts.agg(*_combined(cs, True))
+    all_bands = F.flatten(F.collect_list("_bands"))
+
+    def merged(bands: Column) -> Column:
+        keys = F.array_distinct(F.transform(bands, lambda b: F.struct(b["i"].alias("i"), b["e"].alias("e"))))
+
+        def total(key: Column, j: int) -> Column:
+            same = F.filter(bands, lambda b: (b["i"] == key["i"]) & (b["e"] == key["e"]))
+            return F.aggregate(same, F.lit(0).cast("bigint"), lambda a, b: a + b[f"l{j}"])
+
+        return F.transform(keys, lambda k: F.struct(k["i"].alias("i"), k["e"].alias("e"), *[total(k, j).alias(f"l{j}") for j in range(FLOAT_LIMBS)]))
+
+    return parts.agg(*_combined(cs, True), all_bands.alias("_all")).withColumn("_bands", merged(col("_all"))).drop("_all")
 
 
 def final_exprs(cs: ColumnSets) -> list[Column]:
-    out = [col("row_count")]
+    """The reported values of a side from its row of partials (also where the side has no rows)."""
+    zero = F.lit(0).cast("bigint")
+    out = [F.coalesce("row_count", zero).alias("row_count")]
     out += [_sum_final(c, i).alias(sum_name(c)) for i, c in enumerate(cs.sum_columns)]
-    out += [col(nonnull_name(c)) for c in cs.null_columns]
+    out += [F.coalesce(col(nonnull_name(c)), zero).alias(nonnull_name(c)) for c in cs.null_columns]
     for c in cs.tolerance_columns:
         out += [col(min_name(c)), col(max_name(c))]
     if cs.fingerprint_columns:
@@ -135,14 +257,12 @@ def final_exprs(cs: ColumnSets) -> list[Column]:
 def aggregate_values(candidate: DataFrame, baseline: DataFrame, cs: ColumnSets) -> DataFrame:
     """One row per side: row_count, sum__c, nonnull__c, min__c/max__c (tolerance columns), checksum.
 
-    Each side is one global aggregate (a global aggregate yields its row even for no input: count 0, sums NULL);
-    the two are unioned, so both scans run in one job and only one partial row per task is exchanged.
+    Each side is read once (no rows: count 0, sums NULL); the two are unioned, so both scans run in one job and only
+    the tasks' partial rows are exchanged.
     """
-    proj = [col(c.name) for c in cs.compared]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = _steps(df.select(*proj), cs)
-        return rows.agg(*aggregate_exprs(cs)).select(F.lit(name).alias(SIDE), *final_exprs(cs))
+        return partial_rows(df, cs).select(F.lit(name).alias(SIDE), *final_exprs(cs))
 
     return side(candidate, CANDIDATE).unionByName(side(baseline, BASELINE))
 
@@ -270,7 +390,7 @@ def aggregate_checks(values: DataFrame, cs: ColumnSets, with_duplicates: bool |
         checks.append(_check("checksum", None, c("checksum"), b("checksum"), c("checksum").eqNullSafe(b("checksum")), "exact", None, True))
     if cs.key_columns and with_duplicates:
         cd, bd = c("duplicate_key_rows"), b("duplicate_key_rows")
-        # A key must identify every row on both sides: this agrees only when neither side has duplicates.
+        # Equal numbers of surplus rows are no agreement: one repeated key, on either side, fails the check.
         checks.append(_check("duplicate_key_rows", None, cd, bd, (cd == 0) & (bd == 0), "exact", None, True))
     return w.select(F.inline(F.array(*checks)))
 

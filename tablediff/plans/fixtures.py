@@ -23,6 +23,8 @@ DUPLICATE_MOD = 103
 ADDED_KEY_OFFSET = 10_000_000
 DRIFT = 0.004
 CHANGE_SUFFIX = "*"
+FEW_CHANGED_MOD = 97
+FEW_DROPPED_MOD = 499
 TEXT_END_MOD = 7
 DROP_MOD_SMALL = 13
 ADDED_TURN = 100
@@ -86,6 +88,18 @@ def mutate_conversations(conversations: DataFrame) -> DataFrame:
     return kept.unionByName(extra)
 
 
+def mutate_customer(customer: DataFrame) -> DataFrame:
+    """The candidate copy of ``customer``, with few changes: some names end in another letter, a few rows are dropped."""
+    k = F.col("c_custkey")
+    name = F.when(k % FEW_CHANGED_MOD == 0, F.concat(F.col("c_name"), F.lit(CHANGE_SUFFIX))).otherwise(F.col("c_name"))
+    return customer.where(k % FEW_DROPPED_MOD != 0).withColumn("c_name", name)
+
+
+def customer_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base = table(spark, sf_dir, "customer")
+    return mutate_customer(base), base
+
+
 def orders_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = table(spark, sf_dir, "orders")
     return mutate_orders(base), base

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import records as record_store
+
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 500
 # Why a run without a recent heartbeat is shown as abandoned.
@@ -87,6 +89,17 @@ def with_abandoned(records: DataFrame, as_of: str | dt.datetime, stale_after_sec
     )
 
 
+def run_record(
+    spark: SparkSession, root: str, pipeline: str, run_id: str, as_of: str | dt.datetime, stale_after_seconds: float
+) -> dict | None:
+    """One run's record as it is reported at ``as_of``: a run whose heartbeat stopped is shown as abandoned."""
+    record = record_store.read_run_record(spark, root, pipeline, run_id)
+    if record is None:
+        return None
+    rows = spark.createDataFrame([record], record_store.RECORD_SCHEMA)
+    return with_abandoned(rows, as_of, stale_after_seconds).collect()[0].asDict(recursive=True)
+
+
 def dataset_verdict_rows(records: DataFrame) -> DataFrame:
     """One row per run and dataset: ``run_id, name, verdict`` from the nested dataset list."""
     return records.select("run_id", F.inline_outer("datasets")).where(F.col("name").isNotNull())

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import canonical, col, fingerprint
+from ..functions.canonical import canonical, col, fingerprint, from_limbs
 from ..functions.types import ColumnInfo, columns_of
 from ..operators import aggregate as agg
+from ..operators import digest
 from ..operators import rowdiff as rd
 from ..operators.columns import ColumnSets, column_sets
 from ..operators.scope import apply_row_range
@@ -237,6 +238,39 @@ def aggregate_gate(spark, sf_dir):
     )
 
 
+# --- key classes ---------------------------------------------------------------------------------------------------
+
+
+def differing_classes(spark, sf_dir):
+    """The key classes of the orders pair whose digests differ, with their rows on each side."""
+    cand, base, cs = _orders(spark, sf_dir)
+    return digest.differing_classes(digest.class_rows(cand, base, cs))
+
+
+def differing_content_classes(spark, sf_dir):
+    """The same for a pair without a key, whose classes are those of the rows' contents."""
+    cand, base, cs = _lineitem(spark, sf_dir)
+    return digest.differing_classes(digest.class_rows(cand, base, cs))
+
+
+def class_digests(spark, sf_dir):
+    """Each class's number of rows and checksum, of one side alone."""
+    _, base, cs = _orders(spark, sf_dir)
+    rows = digest.class_digests(base, cs)
+    return _exact_text(rows.select("class", "row_count", from_limbs([col(f"_ck_{j}") for j in range(3)]).alias("checksum")))
+
+
+def row_diff_in_classes(spark, sf_dir):
+    """The keyed row diff with only the differing classes exchanged. At sf0.01 and below that is a part of all classes
+    only for a pair with few changes, so the customers' few changes are compared here."""
+    cand, base = fx.customer_pair(spark, sf_dir)
+    cs = column_sets(base.schema, ("c_custkey",))
+    rows = digest.class_rows(cand, base, cs)
+    differing = sorted(r["class"] for r in digest.differing_classes(rows).collect())
+    pk = rd.per_key_of_classes(cand, base, cs, differing, digest.CLASSES)
+    return rd.rename_keys(rd.diff_from_per_key(pk, 1), cs.key_columns)
+
+
 # --- duplicates ----------------------------------------------------------------------------------------------------
 
 LINEITEM_KEYS = ("l_orderkey", "l_linenumber")
@@ -367,7 +401,9 @@ def sampled_rows(spark, sf_dir):
 def row_diff_sample(spark, sf_dir):
     pairs, cs = _sampled_pairs(spark, sf_dir)
     report = rd.sample_report(pairs, cs.key_columns, cs.compared, cs.tolerances)
-    return report.select("mismatch_type", "key", F.array_join("differing_columns", ",").alias("differing_columns"))
+    return report.select(
+        "mismatch_type", "key", "candidate", "baseline", F.array_join("differing_columns", ",").alias("differing_columns")
+    )
 
 
 def differing_columns(spark, sf_dir):
@@ -571,6 +607,10 @@ QUERIES = {
     "ignored_columns_check": ignored_columns_check,
     "embeddings_check": embeddings_check,
     "aggregate_gate": aggregate_gate,
+    "differing_classes": differing_classes,
+    "differing_content_classes": differing_content_classes,
+    "class_digests": class_digests,
+    "row_diff_in_classes": row_diff_in_classes,
     "duplicate_keys": duplicate_keys,
     "duplicate_key_counts": duplicate_key_counts,
     "duplicate_keys_top": duplicate_keys_top,

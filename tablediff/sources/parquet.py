@@ -33,29 +33,39 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return keyed
 
 
-def require_one_schema(spark: SparkSession, path: str) -> None:
+# So many files' footers are in the driver at once.
+FOOTERS_AT_ONCE = 1000
+
+
+def require_one_schema(spark: SparkSession, path: str, at_once: int = FOOTERS_AT_ONCE) -> None:
     """Raise :class:`MixedFiles` unless all files hold the same columns with the same types.
 
     Spark takes the columns of one file for all: a column that only other files have would vanish, one that they lack
-    would read as NULL, and a comparison could pass for it. The footers (no rows) are read in parallel threads of the
-    driver's Parquet library.
+    would read as NULL, and a comparison could pass for it. The listing that the scan made is used again, and the
+    footers (no rows, no statistics) are read in parallel threads, ``at_once`` files at a time; of each lot only the
+    different column lists are kept, so what the driver holds does not grow with the number of files.
     """
     plain = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    statuses = jvm.java.util.ArrayList()
-    for f in plain.inputFiles():
-        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
-        statuses.add(at.getFileSystem(conf).getFileStatus(at))
-    footers = jvm.org.apache.parquet.hadoop.ParquetFileReader.readAllFootersInParallel(conf, statuses, True)
+    listed = plain._jdf.queryExecution().analyzed().relation().location().allFiles()
+    files = jvm.java.util.ArrayList(jvm.scala.jdk.javaapi.CollectionConverters.asJava(listed))
     first = None
-    for footer in footers:
-        fields = footer.getParquetMetadata().getFileMetaData().getSchema().getFields()
-        columns = sorted(" ".join(str(c).split()[1:]) for c in fields)  # without required or optional
-        if first is None:
-            first = columns
-        elif columns != first:
-            odd = sorted({*columns} ^ {*first})
-            raise MixedFiles(f"{path}: files disagree about {', '.join(odd)}")
+    for lo in range(0, files.size(), at_once):
+        lot = files.subList(lo, min(lo + at_once, files.size()))
+        for columns in _column_lists(jvm, conf, lot):
+            if first is None:
+                first = columns
+            elif columns != first:
+                odd = sorted(set(columns) ^ set(first))
+                raise MixedFiles(f"{path}: files disagree about {', '.join(odd)}")
+
+
+def _column_lists(jvm, conf, files) -> set[tuple[str, ...]]:
+    """The different column lists (sorted, without required or optional) in the footers of ``files``."""
+    schemas = jvm.java.util.HashSet()
+    for footer in jvm.org.apache.parquet.hadoop.ParquetFileReader.readAllFootersInParallel(conf, files, True):
+        schemas.add(footer.getParquetMetadata().getFileMetaData().getSchema())
+    return {tuple(sorted(" ".join(str(c).split()[1:]) for c in schema.getFields())) for schema in schemas}
 
 
 def read_dataset_or_none(spark: SparkSession, path: str) -> DataFrame | None:
