@@ -59,7 +59,8 @@ def _power(base: int, band: Column) -> list[Column]:
     bands = range(LOWEST_BAND, HIGHEST_BAND + 1)
     exponents = [base - BAND * b for b in bands]
     halves = ([e // 2 for e in exponents], [e - e // 2 for e in exponents])
-    return [F.get(F.array(*[F.lit(2.0**e) for e in part]), band - LOWEST_BAND) for part in halves]
+    texts = [", ".join(f"{2.0**e!r}D" for e in part) for part in halves]
+    return [F.get(F.expr(f"array({text})"), band - LOWEST_BAND) for text in texts]
 
 
 # Magnitudes of a band are whole multiples of 2^(BAND * band - UNIT): 52 bits below its start, one more since the
@@ -181,13 +182,34 @@ def _partials(cs: ColumnSets) -> list[tuple[str, str, Column]]:
 
 
 _OF_ROWS = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
-_OF_GROUPS = {**_OF_ROWS, "count": F.sum}
+_OF_GROUPS = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _partial_names(cs: ColumnSets) -> list[tuple[str, str]]:
+    """Name and way of combining of ``_partials``."""
+    out = [("row_count", "count")]
+    for i, c in enumerate(cs.sum_columns):
+        if _limbed(c):
+            out += [(f"_s{i}_{j}", "sum") for j in range(3)]
+        elif is_floating(c.data_type):
+            out += [(f"_odd{i}", "sum"), (f"_some{i}", "count")]
+        else:
+            out.append((f"_s{i}_0", "sum"))
+    out += [(nonnull_name(c), "count") for c in cs.null_columns]
+    out += [(n(c), how) for c in cs.tolerance_columns for n, how in ((min_name, "min"), (max_name, "max"))]
+    if cs.fingerprint_columns:
+        out += [(f"_ck_{j}", "sum") for j in range(3)]
+    return out
 
 
 def _combined(cs: ColumnSets, made: bool) -> list[Column]:
     """The aggregates of ``_partials``, of the rows or (``made``) of groups that are aggregated already."""
     if made:
-        return [_OF_GROUPS[how](col(name)).alias(name) for name, how, _ in _partials(cs)]
+        return [F.expr(f"{_OF_GROUPS[how]}({_quoted(name)})").alias(name) for name, how in _partial_names(cs)]
     return [_OF_ROWS[how](part).alias(name) for name, how, part in _partials(cs)]
 
 
@@ -206,21 +228,23 @@ def partial_rows(df: DataFrame, cs: ColumnSets, by: list[Column] | None = None)
     groups = banded.groupBy(*names, *[f"_e{i}" for i, _ in floats]).agg(*_combined(cs, False), *sums)
 
     # The groups are few. Their rows are dealt out as one with the partials and one per IEEE column and band.
-    own = [name for name, _, _ in _partials(cs)]
-
-    def part(i: int | None) -> Column:
-        fields = [F.lit(-1 if i is None else i).alias("i"), (F.lit(0) if i is None else col(f"_e{i}")).alias("e")]
-        fields += [(F.lit(None).cast("bigint") if i is None else col(f"_l{i}_{j}")).alias(f"l{j}") for j in range(FLOAT_LIMBS)]
-        fields += [(col(n) if i is None else F.lit(None).cast(groups.schema[n].dataType)).alias(n) for n in own]
-        return F.struct(*fields)
-
-    dealt = groups.select(*names, F.explode(F.array(part(None), *[part(i) for i, _ in floats])).alias("p")).select(*names, "p.*")
-    limb_sums = [F.coalesce(F.sum(f"l{j}"), F.lit(0).cast("bigint")).alias(f"l{j}") for j in range(FLOAT_LIMBS)]
+    own = [name for name, _ in _partial_names(cs)]
+    types = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+
+    def part(i: int | None) -> str:
+        fields = [f"{-1 if i is None else i} AS i", f"{0 if i is None else f'_e{i}'} AS e"]
+        fields += [f"{'CAST(NULL AS BIGINT)' if i is None else f'_l{i}_{j}'} AS l{j}" for j in range(FLOAT_LIMBS)]
+        fields += [f"{_quoted(n) if i is None else f'CAST(NULL AS {types[n]})'} AS {_quoted(n)}" for n in own]
+        return f"struct({', '.join(fields)})"
+
+    every = ", ".join([part(None), *[part(i) for i, _ in floats]])
+    dealt = groups.selectExpr(*names, f"inline(array({every}))")
+    limb_sums = [F.expr(f"coalesce(sum(l{j}), 0L)").alias(f"l{j}") for j in range(FLOAT_LIMBS)]
     once = dealt.groupBy(*names, "i", "e").agg(*limb_sums, *_combined(cs, True))
-    band = F.struct("i", "e", *[f"l{j}" for j in range(FLOAT_LIMBS)])
+    band = f"struct(i, e, {', '.join(f'l{j}' for j in range(FLOAT_LIMBS))})"
     # One row of each group has the partials: whichever aggregate leaves its values as they are.
-    kept = [F.max(col(n)).alias(n) for n in own]
-    return once.groupBy(*names).agg(*kept, F.collect_list(F.when(col("i") >= 0, band)).alias("_bands"))
+    kept = [F.expr(f"max({_quoted(n)})").alias(n) for n in own]
+    return once.groupBy(*names).agg(*kept, F.expr(f"collect_list(CASE WHEN i >= 0 THEN {band} END)").alias("_bands"))
 
 
 def rolled_up(parts: DataFrame, cs: ColumnSets) -> DataFrame:
