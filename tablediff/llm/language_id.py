@@ -339,7 +339,7 @@ def identify(docs: DataFrame, training: DataFrame, lang_col: str = "lang", text_
     if not languages:
         return predict(kept, None, text_col)
     names = docs.sparkSession.createDataFrame(list(zip(languages, range(len(languages)), strict=True)), "lang string, k int")
-    dealt = written(_dealt(kept, text_col), at + "/dealt")
+    dealt = written(_dealt(kept, text_col), at + "/dealt", buckets_by="strip")
     runs = dealt.select("strip", F.explode("runs").alias("run"))
     needed = written(runs.select("run").distinct(), at + "/needed")
     counts = counts.join(F.broadcast(names), "lang").select("k", "run", "n")

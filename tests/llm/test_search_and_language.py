@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from plans import exchanged
 from pyspark.sql import functions as F
 from rows import DDL, empty, frame, words
 
@@ -161,3 +162,15 @@ def test_identify_equals_one_model_in_memory(spark, monkeypatch):
     nothing = identify(docs, empty(spark)).collect()
     assert len(nothing) == docs.count() and {r["lang_pred"] for r in nothing} == {"und"}
     assert identify(empty(spark), training).count() == 0
+
+
+def test_packed_texts_are_not_exchanged(spark, monkeypatch):
+    from tablediff.llm import language_id
+
+    monkeypatch.setattr(language_id, "SCORED", 4000)
+    docs = frame(spark)
+    before = {t.name for t in spark.catalog.listTables()}
+    out = identify(docs, docs)
+    assert len(out.collect()) == docs.count()
+    assert exchanged(out, "run") > 0 and exchanged(out, "rows") == 0
+    assert {t.name for t in spark.catalog.listTables()} == before
