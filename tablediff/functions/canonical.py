@@ -106,10 +106,15 @@ def from_limbs(sums: list[Column]) -> Column:
     return total.cast("decimal(38,0)")
 
 
-def checksum_limbs(fp: Column) -> list[Column]:
-    """Limbs of the fingerprint's first 60 bits (the high 64 bits shifted right by 4, so never negative)."""
+def checksum_bits(fp: Column) -> Column:
+    """The fingerprint's first 60 bits as a long (the high 64 bits shifted right by 4, so never negative)."""
     hi, _ = fingerprint_halves(fp)
-    return limbs(F.shiftrightunsigned(hi, 4))
+    return F.shiftrightunsigned(hi, 4)
+
+
+def checksum_limbs(fp: Column) -> list[Column]:
+    """Limbs of the fingerprint's first 60 bits."""
+    return limbs(checksum_bits(fp))
 
 
 def report_value(column: ColumnInfo, c: Column | None = None) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import LIMB_BITS, canonical, checksum_limbs, col, fingerprint, from_limbs, limbs
+from ..functions.canonical import LIMB_BITS, canonical, checksum_bits, col, fingerprint, from_limbs, limbs
 from ..functions.types import ColumnInfo, is_floating, is_integral
 from .columns import ColumnSets
 
@@ -177,7 +177,7 @@ def _partials(cs: ColumnSets) -> list[tuple[str, str, Column]]:
     for c in cs.tolerance_columns:
         out += [(min_name(c), "min", col(c.name)), (max_name(c), "max", col(c.name))]
     if cs.fingerprint_columns:
-        out += [(f"_ck_{j}", "sum", part) for j, part in enumerate(checksum_limbs(col("_fp")))]
+        out += [(f"_ck_{j}", "sum", part) for j, part in enumerate(limbs(col("_bits")))]
     return out
 
 
@@ -218,7 +218,8 @@ def partial_rows(df: DataFrame, cs: ColumnSets, by: list[Column] | None = None)
     array of (i, e, l0..l5) with the limb sums of each column's bands. ``df`` is read once."""
     by = by or []
     names = [f"_g{k}" for k in range(len(by))]
-    fp = [fingerprint(cs.fingerprint_columns).alias("_fp")] if cs.fingerprint_columns else []
+    # The text of a fingerprint becomes a number once, in the projection: the sums take their limbs from that.
+    fp = [checksum_bits(fingerprint(cs.fingerprint_columns)).alias("_bits")] if cs.fingerprint_columns else []
     rows = df.select(*[c.alias(n) for n, c in zip(names, by, strict=True)], *[col(c.name) for c in cs.compared], *fp)
     floats = [(i, c) for i, c in enumerate(cs.sum_columns) if is_floating(c.data_type)]
     if not floats:

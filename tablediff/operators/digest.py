@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import checksum_limbs, col, fingerprint
+from ..functions.canonical import checksum_bits, col, fingerprint, fingerprint_halves, limbs
 from .aggregate import BASELINE, CANDIDATE, SIDE, final_exprs, partial_rows, rolled_up
 from .columns import ColumnSets
 
@@ -23,8 +23,8 @@ _DIGEST = ("row_count", "_ck_0", "_ck_1", "_ck_2")
 
 def class_of(cs: ColumnSets, classes: int = CLASSES) -> Column:
     """A row's class, from the first 32 bits of its key's fingerprint (without a key, of its own)."""
-    text = fingerprint(list(cs.key_columns) or cs.fingerprint_columns)
-    return F.pmod(F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint"), F.lit(classes)).cast("int")
+    high, _ = fingerprint_halves(fingerprint(list(cs.key_columns) or cs.fingerprint_columns))
+    return F.pmod(F.shiftrightunsigned(high, 32), F.lit(classes)).cast("int")
 
 
 def class_rows(candidate: DataFrame, baseline: DataFrame, cs: ColumnSets, classes: int = CLASSES) -> DataFrame:
@@ -64,6 +64,6 @@ def differing_classes(rows: DataFrame) -> DataFrame:
 
 def class_digests(df: DataFrame, cs: ColumnSets, classes: int = CLASSES) -> DataFrame:
     """``class, row_count, _ck_0.._ck_2`` of one side alone, for whoever keeps digests between runs."""
-    fp = fingerprint(cs.fingerprint_columns)
-    rows = df.select(class_of(cs, classes).alias(CLASS), *[p.alias(f"_c{j}") for j, p in enumerate(checksum_limbs(fp))])
-    return rows.groupBy(CLASS).agg(F.count(F.lit(1)).alias("row_count"), *[F.sum(f"_c{j}").alias(f"_ck_{j}") for j in range(3)])
+    rows = df.select(class_of(cs, classes).alias(CLASS), checksum_bits(fingerprint(cs.fingerprint_columns)).alias("_bits"))
+    parts = limbs(col("_bits"))
+    return rows.groupBy(CLASS).agg(F.count(F.lit(1)).alias("row_count"), *[F.sum(p).alias(f"_ck_{j}") for j, p in enumerate(parts)])

@@ -123,3 +123,20 @@ def test_one_side_alone_has_the_same_digests(spark):
     names = ["class", "row_count", "_ck_0", "_ck_1", "_ck_2"]
     alone = digest.class_digests(base.repartition(3), cs).select(*names)
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, rows.select(*names).collect()))
+
+
+def test_a_fingerprint_becomes_a_number_once_for_each_row(spark):
+    base = table(spark, 100)
+    keyless = column_sets(base.schema, (), ("v",))
+    for df in (digest.class_rows(base, base, keyless), digest.class_digests(base, keyless)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        sums = [line for line in plan.splitlines() if "Aggregate [" in line]
+        assert sums and not any("conv(" in line or "md5(" in line for line in sums)
+
+
+def test_classes_of_contents_are_those_of_their_md5(spark):
+    base = table(spark, 300)
+    cs = column_sets(base.schema, (), ("v",))
+    fp = digest.fingerprint(cs.fingerprint_columns)
+    found = base.select(digest.class_of(cs), fp, digest.class_of(cs, 7)).collect()
+    assert all((a, b) == (int(text[:8], 16) % 256, int(text[:8], 16) % 7) for a, text, b in found)
