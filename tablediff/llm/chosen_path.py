@@ -347,6 +347,8 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str, threshold: float, r
     checked = _grouped(likely.join(sets, "cls"))
     partial = checked.mapInArrow(_linked(threshold), "cls binary, links long, least binary")
     partial = written(partial, at + "/links")
+    for done in ("sizes", "members", "likely", "wanted", "sets"):
+        drop_path(spark, f"{at}/{done}")
     degrees = partial.groupBy("cls").agg(F.sum("links").alias("n_links"))
     labels = components(partial.select(F.col("cls").alias("a"), F.col("least").alias("b")), at)
     own = classes.select("cls", "first_id", "first")

@@ -16,7 +16,7 @@ determinant estimate is too large:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablediff.llm.common import once, shared_dir, whole_text, written
@@ -143,6 +143,9 @@ def _estimate_columns() -> list[str]:
     return [f"m{i}" for i in range(k)] + [f"w{i}{j}" for i in range(k) for j in range(i + 1)]
 
 
+_ESTIMATE = "struct<" + ",".join(f"{c}:double" for c in [*_estimate_columns(), "det"]) + ">"
+
+
 def _with_distance(cells: DataFrame, estimates: DataFrame) -> DataFrame:
     k = len(DIMS)
     mean = [F.col(f"m{i}") for i in range(k)]
@@ -178,25 +181,36 @@ def _starts(cells: DataFrame) -> DataFrame:
 def _concentrate(cells: DataFrame, estimates: DataFrame) -> DataFrame:
     """One concentration step: mean and covariance of each start's nearest rows, as mean and weights.
 
-    Distances are compared on a scale of sixteen steps for each doubling, so that the core's limit is exact and needs a
-    bounded number of values per start.
+    Distances are compared on a scale of sixteen steps for each doubling, so that the core's limit, the median step, is
+    exact and needs a bounded number of values per start: the cells of a step are summed up first, and the core is the
+    sums of the steps up to the median.
     """
     ranked = _with_distance(cells, estimates).withColumn("step", F.floor(16 * F.log2(1 + F.col("d2"))))
-    limit = ranked.groupBy("grp", "start").agg(F.expr(f"percentile(step, {CORE}, n)").alias("limit"))
-    core = ranked.join(limit, ["grp", "start"]).where(F.col("step") <= F.col("limit"))
-    return _estimates(core, ["grp", "start"], CORE_FACTOR)
+    by = ["grp", "start"]
+    rings = ranked.groupBy(*by, "step").agg(*_sums())
+    inner = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    before, rows = F.coalesce(F.sum("n").over(inner), F.lit(0)), F.sum("n").over(Window.partitionBy(*by))
+    core = rings.withColumns({"before": before, "rows": rows}).where(F.col("before") <= F.floor(CORE * (F.col("rows") - 1)))
+    return _estimates(core.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _sum_columns()]), by, CORE_FACTOR)
 
 
-def _estimates(core: DataFrame, by: list[str], factor: float) -> DataFrame:
-    """Mean and weights (the inverse of the covariance's Cholesky factor) of the cells of ``core``."""
+def _sum_columns() -> list[str]:
     k = len(DIMS)
-    n = F.col("n")
-    sums = [F.sum(n).cast("double").alias("n")]
-    sums += [F.sum(n * F.col(DIMS[i])).cast("double").alias(f"s{i}") for i in range(k)]
-    sums += [
-        F.sum(n * F.col(DIMS[i]) * F.col(DIMS[j])).cast("double").alias(f"s{i}{j}") for i in range(k) for j in range(i + 1)
-    ]
-    out = core.groupBy(*by).agg(*sums)
+    return ["n"] + [f"s{i}" for i in range(k)] + [f"s{i}{j}" for i in range(k) for j in range(i + 1)]
+
+
+def _sums() -> list[Column]:
+    """The number of rows of some cells, and their sums and sums of products, all whole numbers."""
+    n, x = F.col("n"), [F.col(d) for d in DIMS]
+    k = len(DIMS)
+    products = [n] + [n * x[i] for i in range(k)] + [n * x[i] * x[j] for i in range(k) for j in range(i + 1)]
+    return [F.sum(p).alias(c) for p, c in zip(products, _sum_columns(), strict=True)]
+
+
+def _estimates(sums: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """Mean and weights (the inverse of the covariance's Cholesky factor) of each row's ``_sums``."""
+    k = len(DIMS)
+    out = sums.select(*by, *[F.col(c).cast("double").alias(c) for c in _sum_columns()])
     out = out.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(k)})
     # Covariance, its Cholesky factor L, and W = L^-1, entry by entry.
     for i in range(k):
@@ -231,9 +245,13 @@ def _converged(cells: DataFrame, at: str) -> DataFrame:
     settled, step = [], 0
     while going.head(1):
         step += 1
+        # Both estimates of a start meet by grouping: each join here would be one more broadcast for the driver.
+        estimate = F.struct(*_estimate_columns(), "det")
         after = _concentrate(cells, going.drop("det")).withColumn("det", _log_det())
-        before = going.select("grp", "start", F.struct(*_estimate_columns(), "det").alias("old"))
-        both = written(after.join(before, ["grp", "start"]), f"{at}/estimates{step}")
+        after = after.select("grp", "start", estimate.alias("new"), F.lit(None).cast(_ESTIMATE).alias("old"))
+        before = going.select("grp", "start", F.lit(None).cast(_ESTIMATE).alias("new"), estimate.alias("old"))
+        pairs = after.unionByName(before).groupBy("grp", "start").agg(F.max("new").alias("new"), F.max("old").alias("old"))
+        both = written(pairs.select("grp", "start", "new.*", "old"), f"{at}/estimates{step}")
         smaller = F.col("old.det").isNull() | (F.col("det") < F.col("old.det") - 1e-9)
         settled.append(both.where(~smaller).select("grp", "start", "old.*"))
         going = both.where(smaller).drop("old")
@@ -265,19 +283,16 @@ def judge(
     cells = written(named.groupBy("grp", *DIMS).agg(F.sum("n").alias("n")), at + "/cells")
     nearest = written(_converged(cells, at), at + "/nearest")
     usual = _with_distance(cells, nearest).where(F.col("d2") <= REWEIGHT)
-    estimates = written(_estimates(usual, ["grp"], REWEIGHT_FACTOR), at + "/estimates")
+    estimates = _estimates(usual.groupBy("grp").agg(*_sums()), ["grp"], REWEIGHT_FACTOR)
     sizes = cells.groupBy("grp").agg(F.sum("n").alias("rows"))
     known = estimates.join(sizes, "grp").select("grp", "rows", F.struct(*_estimate_columns()).alias("e"))
-    chosen = own.select("g0", "g1", "g2").distinct()
-    for level in range(3):
-        this = known.select(
-            F.col("grp").alias(f"g{level}"),
-            F.when((F.col("rows") >= min_rows) | F.lit(level == 0), F.col("e")).alias(f"e{level}"),
-        )
-        chosen = chosen.join(this, f"g{level}", "left")
-    chosen = written(
-        chosen.select(F.col("g2").alias("__grp"), F.coalesce("e2", "e1", "e0").alias("__e")), at + "/chosen"
-    )
+    # Of the three groups of a row the last one that is large enough; all rows together always are.
+    groups = own.select("g0", "g1", "g2").distinct()
+    levels = F.posexplode(F.array("g0", "g1", "g2")).alias("level", "grp")
+    enough = (F.col("rows") >= min_rows) | (F.col("level") == 0)
+    last = F.max(F.when(enough, F.struct("level", "e")))["e"]
+    found = groups.select(F.col("g2").alias("__grp"), levels).join(known, "grp", "left")
+    chosen = written(found.groupBy("__grp").agg(last.alias("__e")), at + "/chosen")
     k = len(DIMS)
     e = F.col("__e")
     mean = [e[f"m{i}"] for i in range(k)]

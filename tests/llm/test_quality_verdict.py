@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from plans import nodes
 from rows import words
 
 from tablediff.llm import quality as q
@@ -106,3 +107,22 @@ def test_distances_equal_a_plain_computation(judged):
         want = distances(x, *robust(x))
         assert np.allclose([r["distance"] for r in rows], want, rtol=1e-4, atol=1e-4)
         assert [r["kept"] for r in rows] == [bool(d <= q.LIMIT) for d in want]
+
+
+def test_a_concentration_step_broadcasts_the_estimates_alone(spark):
+    rng = random.Random(13)
+    rows = [(g, *(rng.randint(0, 90) for _ in q.DIMS), rng.randint(1, 4)) for g in ("a", "b") for _ in range(151)]
+    cells = spark.createDataFrame(rows, ["grp", *q.DIMS, "n"]).groupBy("grp", *q.DIMS).agg(q.F.sum("n").alias("n"))
+    estimates = spark.createDataFrame(q._starts(cells).collect())
+    step = q._concentrate(cells, estimates)
+    found = step.collect()
+    assert len(nodes(step, "BroadcastExchange")) <= 1
+    for r in found:
+        x = np.array([c[1:5] for c in rows if c[0] == r["grp"] for _ in range(c[5])], float)
+        e = next(e for e in estimates.collect() if (e["grp"], e["start"]) == (r["grp"], r["start"]))
+        w = np.array([[e[f"w{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+        d = (((x - [e[f"m{i}"] for i in range(4)]) @ w.T) ** 2).sum(1)
+        ring = np.floor(16 * np.log2(1 + d))
+        mean, _ = estimate(x[ring <= percentile(ring, q.CORE)], q.CORE_FACTOR)
+        assert np.allclose([r[f"m{i}"] for i in range(4)], mean)
+    assert len(found) == len(estimates.collect())
