@@ -2,7 +2,9 @@
 
 All tokens of both tokenizers are byte ranges of a space and the text. They are sorted by where they start (lexsort),
 the ends are accumulated with their running maximum, and a group breaks where a start reaches it: there tokens of both
-sides end. Inside groups every pair of tokens whose ranges overlap is a link.
+sides end. Inside groups every pair of tokens whose ranges overlap is a link. Where a character is in front of white
+space, tokens of both sides end whatever else stands in the text, so a stretch between such places is aligned once and
+remembered: a text's groups and links are those of its stretches in turn.
 
 Texts are read in strips of about STRIP_BYTES. A strip's distinct id pairs, with the number of its documents that hold
 them, are one row each; they are counted over the corpus, and each strip gets the counts of its own pairs back, so no
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablediff.llm.chunk_ids import _gather as gathered
 from tablediff.llm.common import shared_dir, written
-from tablediff.llm.segment_ids import SegmentIds, byte_level_ids, piece_ids, tokenizer_file
+from tablediff.llm.segment_ids import MEMORY_SEGMENTS, SegmentIds, byte_level_ids, piece_ids, shared_cut, tokenizer_file
 
 STRIP_BYTES = 8 << 20
 PIECE_CHARS = 1 << 18
 BATCH_CHARS = 1 << 20
+MEMORY_CHARS = 8_000_000
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 NEW = (*MEASURES, "groups_sha256", "n_best", "count_sum")
@@ -37,17 +42,16 @@ NEW = (*MEASURES, "groups_sha256", "n_best", "count_sum")
 # how often, as compressed 32-bit numbers.
 PAIRS = "pairs array<long>, docs array<long>, members array<int>, sizes array<int>, which binary, times binary"
 
+Ids = tuple[np.ndarray, np.ndarray]
+
 _CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
-_LOADED: dict[tuple[str, str], tuple[SegmentIds, SegmentIds, list[bytes]]] = {}
+_LOADED: dict[tuple[str, str], _Aligner] = {}
 
 
-def _loaded(a_file: str, b_file: str) -> tuple[SegmentIds, SegmentIds, list[bytes]]:
+def _loaded(a_file: str, b_file: str) -> _Aligner:
     key = (a_file, b_file)
     if key not in _LOADED:
-        a, b = byte_level_ids(tokenizer_file(a_file)), piece_ids(tokenizer_file(b_file))
-        signs = (b",", b"|", b";")
-        ends = [str(i).encode() + s for i in range(max(len(a.raw), len(b.raw))) for s in signs]
-        _LOADED[key] = (a, b, ends)
+        _LOADED[key] = _Aligner(byte_level_ids(tokenizer_file(a_file)), piece_ids(tokenizer_file(b_file)))
     return _LOADED[key]
 
 
@@ -93,51 +97,126 @@ class _Text:
         self.same, self.counts, self.digest, self.pairs = True, np.zeros(4, np.int64), hashlib.sha256(), []
 
 
-def _align(texts: list[_Text], pieces: list[tuple[int, str]], a: SegmentIds, b: SegmentIds, ends: list[bytes]) -> None:
-    """Add the pieces (text, its piece) to what is known of their texts."""
-    plain = [p for _, p in pieces]
-    a_ids, b_ids = a.of(plain), b.of(plain)
-    good = []
-    for k, (i, _) in enumerate(pieces):
-        if a_ids[k][1] and b_ids[k][1]:
-            good.append(k)
-        else:
-            texts[i].same = False
-    if not good:
-        return
-    a_flat, b_flat = (np.concatenate([x[k][0] for k in good]).astype(np.int64) for x in (a_ids, b_ids))
-    a_at, b_at = (np.cumsum([0, *(len(x[k][0]) for k in good)]) for x in (a_ids, b_ids))
-    a_group, b_group, from_a, from_b = coalesced(a.sizes[a_flat], b.sizes[b_flat])
-    groups = int(a_group[-1]) + 1
-    a_before = np.searchsorted(a_group, np.arange(groups + 1))
-    b_before = np.searchsorted(b_group, np.arange(groups + 1))
-
-    # The groups' ids in turn, each with the sign that follows it.
-    code = np.empty(len(a_flat) + len(b_flat), np.int64)
-    a_place = np.arange(len(a_flat)) + b_before[a_group]
-    b_place = np.arange(len(b_flat)) + a_before[b_group + 1]
-    code[a_place], code[b_place] = 3 * a_flat, 3 * b_flat
-    code[a_place[a_before[1:] - 1]] += 1
-    code[b_place[b_before[1:] - 1]] += 2
-
-    piece_of = np.repeat(np.arange(len(good)), np.diff(a_at))[from_a]
-    wide = len(b.raw)
-    linked = np.sort((piece_of * len(a.raw) + a_flat[from_a]) * wide + b_flat[from_b])
-    new = np.flatnonzero(np.concatenate(([True], linked[1:] != linked[:-1])))
-    times = np.diff(np.append(new, len(linked)))
-    piece, pair = np.divmod(linked[new], len(a.raw) * wide)
-    pair = (pair // wide << 32) | pair % wide
-    held = np.searchsorted(piece, np.arange(len(good) + 1))
-    links = np.bincount(piece_of, minlength=len(good))
-    group_at = a_group[np.minimum(a_at[:-1], len(a_flat) - 1)]
-    group_at = np.append(group_at, groups)
-    for j, k in enumerate(good):
-        text = texts[pieces[k][0]]
-        n_a, n_b = int(a_at[j + 1] - a_at[j]), int(b_at[j + 1] - b_at[j])
-        said = b"".join(map(ends.__getitem__, code[a_at[j] + b_at[j] : a_at[j + 1] + b_at[j + 1]].tolist()))[:-1]
-        text.digest.update(b";" + said if text.counts[0] else said)
-        text.counts += (n_a, n_b, int(group_at[j + 1] - group_at[j]), int(links[j]))
-        text.pairs.append((pair[held[j] : held[j + 1]], times[held[j] : held[j + 1]]))
+def _in_turn(ids: list[np.ndarray]) -> Ids:
+    return np.concatenate(ids).astype(np.int64), np.cumsum([0, *map(len, ids)])
+
+
+class _Units:
+    """Stretches of text with whole groups, aligned: what is said of each one's groups, MEASURES, and all its links."""
+
+    def __init__(self):
+        self.said: list[bytes] = []
+        self.counts, self.links, self.at = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def add(self, a_ids: Ids, b_ids: Ids, a: SegmentIds, b: SegmentIds, ends: list[bytes]) -> None:
+        """Align units by their ids, all in turn, and where each unit's start; none is empty."""
+        (a_flat, a_at), (b_flat, b_at) = a_ids, b_ids
+        a_group, b_group, from_a, from_b = coalesced(a.sizes[a_flat], b.sizes[b_flat])
+        groups = int(a_group[-1]) + 1
+        a_before, b_before = (np.concatenate(([0], np.cumsum(np.bincount(x, minlength=groups)))) for x in (a_group, b_group))
+
+        # The groups' ids in turn, each with the sign that follows it.
+        code = np.empty(len(a_flat) + len(b_flat), np.int64)
+        a_place = np.arange(len(a_flat)) + b_before[a_group]
+        b_place = np.arange(len(b_flat)) + a_before[b_group + 1]
+        code[a_place], code[b_place] = 3 * a_flat, 3 * b_flat
+        code[a_place[a_before[1:] - 1]] += 1
+        code[b_place[b_before[1:] - 1]] += 2
+        said, at = list(map(ends.__getitem__, code.tolist())), (a_at + b_at).tolist()
+        self.said += [b"".join(said[lo:hi])[:-1] for lo, hi in zip(at[:-1], at[1:])]
+
+        links_at = np.searchsorted(from_a, a_at)
+        group_at = np.append(a_group[a_at[:-1]], groups)
+        self.counts = np.concatenate([self.counts, np.diff([a_at, b_at, group_at, links_at]).T])
+        self.links = np.concatenate([self.links, a_flat[from_a] * len(b.raw) + b_flat[from_b]])
+        self.at = np.concatenate([self.at, self.at[-1] + links_at[1:]])
+
+    def and_(self, others: _Units) -> _Units:
+        """These units, and the others after them."""
+        both = _Units()
+        both.said = self.said + others.said
+        both.counts = np.concatenate([self.counts, others.counts])
+        both.links = np.concatenate([self.links, others.links])
+        both.at = np.concatenate([self.at, self.at[-1] + others.at[1:]])
+        return both
+
+
+class _Aligner:
+    """Two tokenizers with the stretches that are remembered, each aligned once."""
+
+    def __init__(self, a: SegmentIds, b: SegmentIds):
+        self.a, self.b, self.cut = a, b, shared_cut(a, b)
+        signs = (b",", b"|", b";")
+        self.ends = [str(i).encode() + s for i in range(max(len(a.raw), len(b.raw))) for s in signs]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units, self.number, self.chars = _Units(), {}, 0
+
+    def _learn(self, stretches: list[str]) -> None:
+        """Align stretches and number them; those whose bytes a tokenizer doesn't give back have the number -1."""
+        ids = [self.a.of_stretches(stretches), self.b.of_stretches(stretches)]
+        good = np.all([np.diff(at) > 0 for _, at in ids], axis=0)
+        if not good.all():
+            self.number.update((s, -1) for s, g in zip(stretches, good) if not g)
+            stretches = [s for s, g in zip(stretches, good) if g]
+            ids = [gathered(flat, at, np.flatnonzero(good)) for flat, at in ids]
+        self.number.update(zip(stretches, range(len(self.units.said), len(self.units.said) + len(stretches))))
+        self.chars += sum(map(len, stretches))
+        if stretches:
+            self.units.add(*ids, self.a, self.b, self.ends)
+
+    def add(self, texts: list[_Text], pieces: list[tuple[int, str]]) -> None:
+        """Add the pieces (text, its piece) to what is known of their texts."""
+        if len(self.number) > MEMORY_SEGMENTS or self.chars > MEMORY_CHARS:
+            self._forget()
+        cuts = [self.cut(p) for _, p in pieces]
+        number = self.number
+        new = list({s for c in cuts if c is not None for s in c if s not in number})
+        if new:
+            self._learn(new)
+        picks = [None if c is None else list(map(number.__getitem__, c)) for c in cuts]
+
+        # Pieces that aren't cut are a unit each.
+        units = self.units
+        whole = [k for k, p in enumerate(picks) if p is None or -1 in p]
+        if whole:
+            plain = [pieces[k][1] for k in whole]
+            found = list(zip(whole, self.a.of(plain), self.b.of(plain)))
+            same = [(k, a_ids, b_ids) for k, (a_ids, a_same), (b_ids, b_same) in found if a_same and b_same]
+            for k in whole:
+                picks[k] = None
+            for j, (k, _, _) in enumerate(same):
+                picks[k] = [len(units.said) + j]
+            if same:
+                others = _Units()
+                others.add(_in_turn([x for _, x, _ in same]), _in_turn([x for _, _, x in same]), self.a, self.b, self.ends)
+                units = units.and_(others)
+        for (i, _), own in zip(pieces, picks):
+            if own is None:
+                texts[i].same = False
+        good = [k for k, own in enumerate(picks) if own is not None]
+        if not good:
+            return
+
+        at = np.cumsum([0, *(len(picks[k]) for k in good)])
+        flat = np.fromiter(chain.from_iterable(picks[k] for k in good), np.int64, at[-1])
+        counts = np.add.reduceat(units.counts[flat], at[:-1])
+        links, links_at = gathered(units.links, units.at, flat)
+        wide = len(self.b.raw)
+        most = len(self.a.raw) * wide
+        linked = np.sort(np.repeat(np.arange(len(good)) * most, np.diff(links_at[at])) + links)
+        first = np.flatnonzero(np.concatenate(([True], linked[1:] != linked[:-1])))
+        times = np.diff(np.append(first, len(linked)))
+        piece, pair = np.divmod(linked[first], most)
+        pair = (pair // wide << 32) | pair % wide
+        held = np.searchsorted(piece, np.arange(len(good) + 1))
+        for j, k in enumerate(good):
+            text = texts[pieces[k][0]]
+            said = b";".join(map(units.said.__getitem__, picks[k]))
+            text.digest.update(b";" + said if text.counts[0] else said)
+            text.counts += counts[j]
+            text.pairs.append((pair[held[j] : held[j + 1]], times[held[j] : held[j + 1]]))
 
 
 def _numbers(values: np.ndarray) -> bytes:
@@ -153,7 +232,7 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
 
 def align_texts(texts: list[str], copies: list[int], a_file: str, b_file: str) -> tuple[list[tuple], dict]:
     """For different texts with their numbers of copies: each one's MEASURES and digest, and the strip's PAIRS."""
-    a, b, ends = _loaded(a_file, b_file)
+    aligner = _loaded(a_file, b_file)
     known = [_Text() for _ in texts]
     waiting: list[tuple[int, str]] = []
     size = 0
@@ -165,10 +244,10 @@ def align_texts(texts: list[str], copies: list[int], a_file: str, b_file: str) -
             waiting.append((i, piece))
             size += len(piece)
             if size >= BATCH_CHARS:
-                _align(known, waiting, a, b, ends)
+                aligner.add(known, waiting)
                 waiting, size = [], 0
     if waiting:
-        _align(known, waiting, a, b, ends)
+        aligner.add(known, waiting)
 
     rows, members, parts = [], [], []
     for i, text in enumerate(known):

@@ -11,7 +11,7 @@ from rows import rows as plain_rows
 from tokenizers import Tokenizer
 
 from tablediff.llm.alignment import align, coalesced, text_pieces
-from tablediff.llm.segment_ids import byte_level_ids, piece_ids
+from tablediff.llm.segment_ids import byte_level_ids, piece_ids, shared_cut
 
 A, B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 ALPHABETS = ["ab ", "the an 's 'll", "aé日\n x", "0123 ,.!'", "  \t\n a", "ąžȶ Ж ы", "日本é 한", "▁a b", "\x00\x1c\x85 a", "😀 áb", "thingao "]
@@ -160,3 +160,37 @@ def test_odd_rows_and_empty_tables(spark):
     key = lambda x: tuple(map(str, x))
     assert sorted((tuple(r[c] for c in COLUMNS) for r in out), key=key) == sorted(want, key=key)
     assert align(empty(spark), A, B).count() == 0
+
+
+def test_stretches_give_the_libraries_ids_in_any_text():
+    t, model = tokenizer(), sentencepiece.SentencePieceProcessor(model_file=B)
+    a, b = byte_level_ids(A), piece_ids(B)
+    cut = shared_cut(a, b)
+    rng = random.Random(6)
+    # Some pieces of B end with a carriage return.
+    alphabets = [*ALPHABETS, "a;{\r\n ", "(); \r", "\t\n\r x"]
+    plain = 0
+    for k in range(3000):
+        letters = alphabets[k % len(alphabets)]
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 40)))
+        stretches = cut(" " + text)
+        if stretches is None:
+            continue
+        plain += 1
+        assert "".join(stretches) == " " + text
+        (got_a, _), (got_b, _) = a.of_stretches(stretches), b.of_stretches(stretches)
+        assert got_a.tolist() == t.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert got_b.tolist() == model.encode(text), repr(text)
+    assert plain > 1500
+
+
+def test_a_stretch_is_aligned_once(monkeypatch):
+    import tablediff.llm.alignment as m
+
+    seen = []
+    monkeypatch.setattr(m, "coalesced", lambda a, b, f=m.coalesced: seen.append(len(a)) or f(a, b))
+    monkeypatch.setattr(m, "_LOADED", {})
+    texts = [" ".join(["alpha, beta gamma."] * n) for n in range(1, 200)]
+    rows, _ = m.align_texts(texts, [1] * len(texts), A, B)
+    assert m.align_texts(texts, [1] * len(texts), A, B)[0] == rows
+    assert sum(seen) < 20 < rows[-1][0]
