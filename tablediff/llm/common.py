@@ -28,17 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/llm-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within the block, the shuffle files of a finished query go at once, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, path: str, buckets_by: str | None = None) -> DataFrame:
     """``df`` written as Parquet below a shared folder and read back: cuts the lineage and survives lost executors.
 
     ``buckets_by`` deals its rows into ``shuffle_buckets`` buckets by that column, so that a later step which meets others
-    by it reads the rows where they are and doesn't write them a second time to exchange them.
+    by it reads the rows where they are and doesn't write them a second time to exchange them. Nothing of the query but
+    the table stays on disk.
     """
     if buckets_by is None:
-        df.write.parquet(path)
+        with shuffles_dropped(df.sparkSession):
+            df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
     spark, name = df.sparkSession, f"tablediff_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(shuffle_buckets(spark), buckets_by).option("path", path).saveAsTable(name)
+    with shuffles_dropped(spark):
+        df.write.format("parquet").bucketBy(shuffle_buckets(spark), buckets_by).option("path", path).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files are the caller's
     return table

@@ -1,13 +1,18 @@
 import collections
 import random
 import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from rows import DDL, empty, frame, rows, words
 
 from tablediff.llm.chosen_path import jaccard_classes, one_of_each, runs_for
+from tablediff.llm.common import written
 from tablediff.llm.suffix_dedup import MATCH, suffix_dedup, suffix_dedup_digest
 
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def brute_cut(texts):
     raws = [(t or "").encode() for t in texts]
@@ -132,3 +137,27 @@ def test_one_document_of_each_class_stays(spark):
 def test_runs_reach_the_recall():
     runs = runs_for(0.8, 0.9999)
     assert 1 - (1 - 0.8**3) ** runs >= 0.9999 > 1 - (1 - 0.8**3) ** (runs - 1)
+
+
+def files(at):
+    return {str(p) for p in Path(at).rglob("*") if p.is_file()}
+
+
+def test_suffix_dedup_leaves_one_table(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr("tablediff.llm.suffix_dedup.shared_dir", lambda spark: str(tmp_path))
+    cleaned = spark.conf.get(CLEANED)
+    out = suffix_dedup(documents)
+    assert {Path(p).parent.name for p in files(tmp_path)} == {"changed"}
+    assert spark.conf.get(CLEANED) == cleaned
+    assert out.count() == len(more_rows())
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {p for d in blocks.localDirs() for p in files(d.getPath()) if "/shuffle_" in p}
+
+    before = shuffles()
+    table = written(spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count(), str(tmp_path / "table"))
+    assert not shuffles() - before
+    assert table.count() == 97
